@@ -26,8 +26,55 @@ def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from svspark.llm import chat
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"select -1L as conv_id, t.turn, t.role, '{said}' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.parse(chat.format_chats(chat.events_of(rows)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from svspark.llm.urls import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from svspark.llm.decontaminate import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from svspark.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_chat": op3_chat,
+    "op4_url_filter": op4_url_filter,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_toxicity": op7_toxicity,
     "op6_remove_repeats": op6_remove_repeats,
 }
 
