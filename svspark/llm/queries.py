@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from svspark.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from svspark.llm.jaccard import ngram_jaccard
 
@@ -69,12 +75,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from svspark.llm.packing import best_fit
+
+    return best_fit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_chat": op3_chat,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op7_toxicity": op7_toxicity,
+    "op9_packing": op9_packing,
     "op6_remove_repeats": op6_remove_repeats,
 }
 
