@@ -134,7 +134,7 @@ def _matching(table: DataFrame, ids: list[str], window: int, flags=None) -> Data
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
-    """One row per document: (doc_id, contaminated, item_ids, coverage).
+    """One row per document: (doc_id, k2, contaminated, item_ids, coverage), k2 a hash of the text.
 
     A document is contaminated by an item if, on one alignment, at least ``coverage`` of the item's
     windows match and all slots are filled consistently.
@@ -166,4 +166,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = found.groupBy("doc_id", "k2").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("n") / F.col("of")).alias("coverage"))
     hits = work.save(hits, "hits")
     out = docs.select("doc_id", "k2").alias("d").join(hits.alias("h"), F.expr("d.doc_id <=> h.doc_id and d.k2 = h.k2"), "left")
-    return out.select("d.doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    return out.select("d.doc_id", "d.k2", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,7 +21,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from svspark.llm.jaccard import ngram_jaccard
 
-    return ngram_jaccard(_table(spark, sf_dir, "documents"), ngram=3, num=90, den=100)
+    return ngram_jaccard(_table(spark, sf_dir, "documents"), ngram=3, num=90, den=100).drop("k2")
 
 
 def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from svspark.llm.decontaminate import decontaminate
 
-    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("k2")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +76,26 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from svspark.llm.extract import main_text
+
+    return main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from svspark.llm.packing import best_fit
 
     return best_fit(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from svspark.llm.warc import archive
+
+    return archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -88,7 +103,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op7_toxicity": op7_toxicity,
+    "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
+    "pipeline": corpus_pipeline.run,
     "op6_remove_repeats": op6_remove_repeats,
 }
 

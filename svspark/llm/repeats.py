@@ -180,8 +180,8 @@ def _cut(joined: DataFrame, window: int, original: bool) -> DataFrame:
     return joined.mapInArrow(run, out)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, keep_first: bool = False, original: bool = False, batches: int = 2) -> DataFrame:
-    """Remove every word covered by a window that also occurs elsewhere: (doc_id, text, n_words, n_removed).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, keep_first: bool = False, original: bool = False, batches: int = 2, carry: list[str] | None = None) -> DataFrame:
+    """Remove every word covered by a window that also occurs elsewhere: (doc_id, *carry, text, n_words, n_removed).
 
     With ``keep_first`` the first occurrence (by doc_id, then position) stays.  With ``original`` the
     white space between kept words stays as it was; else kept words are joined by one space.
@@ -193,8 +193,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     work = Workspace(spark, "repeats")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("k2", F.xxhash64("text"))
+    carry = carry or []
+    kept = [f"_carry{i}" for i in range(len(carry))]
+    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(k) for c, k in zip(carry, kept, strict=True)))
+    full = full.withColumn("k2", F.xxhash64("text"))
+    docs = full.select("doc_id", "text", "k2")
     runs = work.save(_runs(docs, window), "runs")
     index = FingerprintIndex(spark, work)
     for i in range(batches):
@@ -231,5 +234,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spans = F.when(F.col("n") > 1, whole).otherwise(each(F.col("offs")))
     ranges = found.select("doc_id", "k2", F.explode(spans).alias("x")).groupBy("doc_id", "k2").agg(F.collect_set("x").alias("spans"))
     ranges = work.save(ranges, "spans")
-    joined = docs.alias("d").join(ranges.alias("r"), F.expr("d.doc_id <=> r.doc_id and d.k2 = r.k2"), "left").select("d.doc_id", "text", "spans")
-    return _cut(joined, window, original).select("doc_id", "text", "n_words", "n_removed")
+    joined = full.alias("d").join(ranges.alias("r"), F.expr("d.doc_id <=> r.doc_id and d.k2 = r.k2"), "left").select("d.doc_id", *kept, "text", "spans")
+    return _cut(joined, window, original).select("doc_id", *(F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)), "text", "n_words", "n_removed")

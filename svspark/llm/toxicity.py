@@ -256,3 +256,30 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<begin:int,end:int,p:double>>")
+
+
+def keep_clean(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below 0.5."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    fields = docs.schema.fields
+
+    def run(batches):
+        m = held.value
+        chain = None if "constant" in m else Chain(m["weights"], m["bias"], m["trans"], m["start"])
+        for batch in batches:
+            scores = [np.zeros(0)]
+            for _, _, block in blocks(batch.column(batch.schema.names.index("_text"))):
+                z = _logits(chain, m, block)
+                scores.append(z)
+            yield batch.drop_columns(["_text"]).filter(pa.array(np.concatenate(scores) < 0))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, schema)
+
+
+def _logits(chain, m, block) -> np.ndarray:
+    counts = block.counts
+    if chain is None:
+        return np.full(len(counts), m["constant"] * 2 - 1)
+    p = chain.marginals(chain.emissions(features(block)), counts)
+    return np.column_stack([np.ones(len(counts)), _summary(p, counts)]) @ m["calibration"]
