@@ -5,13 +5,13 @@ Under one total order of n-grams (frequent ones last, then by hash), two sets of
 Jaccard similarity t or more share an n-gram among the first n - ceil(t n) + 1 of
 each.  Classes with the same size and prefix are one group.
 
-1. Groups that share a prefix n-gram are first tied to the least and greatest
-   group of that n-gram's list, a number of pairs linear in the lists; these are
-   verified exactly and give provisional components.
+1. The groups that share a prefix n-gram and are near in size are a list.  Each is
+   first tied to the least group of its lists, a number of pairs linear in the lists;
+   these are verified exactly and give provisional components.
 2. Only pairs that lie in different provisional components can still add a link
-   that matters.  Groups are expanded to members, lists are cut into blocks, and
-   block against block is filtered by size and by an exact upper bound of the
-   overlap (bucket counts); survivors are verified exactly.
+   that matters.  Groups are expanded to members, long lists are cut into blocks, and
+   members of a block, then block against block, are filtered by size and by an exact lower
+   bound of the symmetric difference (parity bitmaps); survivors are verified exactly.
 
 A family of near copies is thus joined by stars and never expanded into all
 pairs; every link between different components is still found, so components are exact.
@@ -21,10 +21,12 @@ The frequency sketch only chooses the order, which affects speed, not results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,9 @@ from svspark.llm.words import blocks, mix
 
 #: Counters of the frequency sketch; its size is fixed, so it may be broadcast.
 SKETCH = 1 << 22
-#: Buckets of the overlap bound, and members of a block of a list.
-BOUND, BLOCK = 64, 256
+#: Members of a block of a list; least and greatest number of bits of a parity bitmap.
+BLOCK = 256
+BITS = (256, 1 << 16)
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -63,6 +66,35 @@ def _identity(s: np.ndarray) -> bytes:
     return mix(np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], dtype=np.uint64) + n).tobytes()
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """A bitmap whose bits tell the parity of a set's members in each bucket; at least two bits a member.
+
+    Two bitmaps differ in at most as many bits as the sets in members; halves may be folded by XOR.
+    """
+    bits = min(BITS[1], max(BITS[0], 1 << (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(m: np.ndarray, words: int) -> np.ndarray:
+    while m.shape[-1] > words:
+        half = m.shape[-1] // 2
+        m = m[..., :half] ^ m[..., half:]
+    return m
+
+
+def _pack(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash."""
+    return (s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(raw) -> np.ndarray:
+    got = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(got), 8), dtype=np.uint8)
+    out[:, :6] = got
+    return out.view(np.uint64).ravel()
+
+
 def _sketch(docs: DataFrame, ngram: int) -> np.ndarray:
     """Level of each sketch counter: 0 for usual n-grams, else the logarithm of how far above usual they are."""
 
@@ -88,7 +120,7 @@ def _sketch(docs: DataFrame, ngram: int) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, level, ngram: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, cid, gid, prefix, bound) of each document."""
+    """(doc_id, k2, n, cid, gid, prefix, bound) of each document."""
 
     def run(batches):
         order = level.value
@@ -102,12 +134,11 @@ def _profile(docs: DataFrame, level, ngram: int, num: int, den: int) -> DataFram
                 rows["cid"].append(_identity(s))
                 rows["gid"].append(int(mix(prefix).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
                 rows["prefix"].append(prefix.astype(np.int64))
-                rows["bound"].append(np.minimum(np.bincount((s & np.uint64(BOUND - 1)).astype(np.int64), minlength=BOUND), 65535).astype(np.uint16).tobytes())
-            ids = batch.column("doc_id")
+                rows["bound"].append(_parity(s))
             types = {"n": pa.int32(), "cid": pa.binary(), "gid": pa.int64(), "prefix": pa.list_(pa.int64()), "bound": pa.binary()}
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, types[k]) for k, v in rows.items())], ["doc_id", *rows])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k2"), *(pa.array(v, types[k]) for k, v in rows.items())], ["doc_id", "k2", *rows])
 
-    return docs.mapInArrow(run, "doc_id long, n int, cid binary, gid long, prefix array<long>, bound binary")
+    return docs.mapInArrow(run, "doc_id long, k2 long, n int, cid binary, gid long, prefix array<long>, bound binary")
 
 
 def _load_sets(work: Workspace, docs: DataFrame, classes: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
@@ -120,7 +151,7 @@ def _load_sets(work: Workspace, docs: DataFrame, classes: DataFrame, wanted: Dat
 
     def run(batches):
         for batch in batches:
-            found = [(_identity(s), s.tobytes()) for _, s in _sets(batch, ngram) if len(s)]
+            found = [(_identity(s), _pack(s)) for _, s in _sets(batch, ngram) if len(s)]
             yield pa.RecordBatch.from_pydict({"cid": pa.array([x[0] for x in found], pa.binary()), "s": pa.array([x[1] for x in found], pa.binary())})
 
     sets = texts.mapInArrow(run, "cid binary, s binary")
@@ -137,7 +168,7 @@ def _verified(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataF
         for batch in batches:
             keep = []
             for sa, sb in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (sa, sb))
+                x, y = (_unpack(v.as_buffer()) for v in (sa, sb))
                 together = np.concatenate([x, y])
                 together.sort()
                 shared = int((together[1:] == together[:-1]).sum())
@@ -149,50 +180,83 @@ def _verified(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataF
     return links
 
 
+def _may_link(differ, na, nb, num, den):
+    """Whether sets of these sizes that differ in at least so many members may be similar enough."""
+    both = na + nb
+    return den * (both - differ) >= num * (both + differ)
+
+
 def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Drop pairs whose bucket counts prove that they can't be similar enough."""
+    """Drop pairs whose bitmaps prove that they can't be similar enough."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, BOUND) for c in ("xa", "xb"))
-            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            keep = _may_link(np.minimum(x, y).astype(np.int64).sum(1), na, nb, (x == 65535).any(1) | (y == 65535).any(1), num, den)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            keep = []
+            for xa, xb, na, nb in zip(batch.column("xa"), batch.column("xb"), batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (xa, xb))
+                words = min(len(x), len(y))
+                keep.append(_may_link(int(np.bitwise_count(_fold(x, words) ^ _fold(y, words)).sum()), na, nb, num, den))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a binary, b binary")
 
 
-def _may_link(most, na, nb, full, num, den):
-    return full | (den * most >= num * (na + nb - most))
-
-
 def _block_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members of two blocks of a list that pass the size and overlap bounds and lie in different components."""
+    """Pairs of members (l, r) of two blocks of a list, or of one, that pass the bounds and lie in different components."""
+
+    def pairs_of(m: np.ndarray, at: np.ndarray, m2: np.ndarray, at2: np.ndarray):
+        """Index pairs of list i's members with those of list i of the other side, or with later ones where m2 is 0."""
+        own = m2 == 0
+        heads = np.repeat(np.arange(len(m)), m)
+        place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        many = np.where(own[heads], m[heads] - 1 - place, m2[heads])
+        first = np.where(own[heads], at[heads] + place + 1, at2[heads])
+        i = np.repeat(at[heads] + place, many)
+        return i, np.repeat(first, many) + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
 
     def run(batches):
         for batch in batches:
-            out: set[tuple[bytes, bytes]] = set()
-            for row in batch.to_pylist():
-                left, right = row["l"], row["r"]
-                x, y = (np.frombuffer(b"".join(m["bound"] for m in side), dtype=np.uint16).reshape(-1, BOUND).astype(np.int64) for side in (left, right))
-                na, nb = (np.array([m["n"] for m in side], dtype=np.int64) for side in (left, right))
-                names = {c: i for i, c in enumerate({m["comp"] for m in left} | {m["comp"] for m in right})}
-                ca, cb = (np.array([names[m["comp"]] for m in side]) for side in (left, right))
-                for i in range(len(left)):
-                    can = (cb != ca[i]) & (den * np.minimum(nb, na[i]) >= num * np.maximum(nb, na[i]))
-                    if row["same"]:
-                        can[: i + 1] = False
-                    at = np.flatnonzero(can)
-                    if len(at):
-                        ok = _may_link(np.minimum(y[at], x[i]).sum(1), na[i], nb[at], (x[i] == 65535).any() | (y[at] == 65535).any(1), num, den)
-                        out.update(tuple(sorted((left[i]["cid"], right[j]["cid"]))) for j in at[ok])
-            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
+            left, right = batch.column("l"), batch.column("r")
+            flat = pa.concat_arrays([left.flatten(), right.flatten()])
+            m, m2 = (pc.fill_null(pc.list_value_length(x), 0).to_numpy().astype(np.int64) for x in (left, right))
+            at, at2 = np.cumsum(m) - m, int(m.sum()) + np.cumsum(m2) - m2
+            n = flat.field("n").to_numpy().astype(np.int64)
+            comp = flat.field("comp").dictionary_encode().indices.to_numpy().astype(np.int64)
+            names = flat.field("cid").dictionary_encode()
+            cid = names.indices.to_numpy().astype(np.int64)
+            bound = flat.field("bound").cast(pa.large_binary())
+            offsets = np.frombuffer(bound.buffers()[1], dtype=np.int64)[bound.offset : bound.offset + len(bound) + 1]
+            bits = np.frombuffer(bound.buffers()[2], dtype=np.uint8) if len(bound) else np.zeros(0, np.uint8)
+            words = np.diff(offsets) // 8
+            cost = np.where(m2 == 0, m * m // 2, m * m2)
+            cuts = np.searchsorted(np.cumsum(cost), np.arange(0, int(cost.sum()) + 1, 1 << 18), side="left")
+            found = []
+            for lo, hi in zip(cuts, [*cuts[1:], len(m)], strict=True):
+                i, j = pairs_of(m[lo:hi], at[lo:hi], m2[lo:hi], at2[lo:hi])
+                ok = (comp[i] != comp[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+                i, j = i[ok], j[ok]
+                x, y = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+                _, once = np.unique(x * len(names.dictionary) + y, return_index=True)
+                i, j, x, y = i[once], j[once], x[once], y[once]
+                sizes = words[i] * (1 << 20) + words[j]
+                for size in np.unique(sizes):
+                    pick = np.flatnonzero(sizes == size)
+                    wi, wj = int(size) >> 20, int(size) & ((1 << 20) - 1)
+                    for k in range(0, len(pick), max(1, (1 << 19) // max(wi, wj))):
+                        part = pick[k : k + max(1, (1 << 19) // max(wi, wj))]
+                        p, q = (bits[offsets[e[part]][:, None] + np.arange(8 * w)].view(np.uint64) for e, w in ((i, wi), (j, wj)))
+                        differ = np.bitwise_count(_fold(p, min(wi, wj)) ^ _fold(q, min(wi, wj))).sum(1).astype(np.int64)
+                        good = part[_may_link(differ, n[i[part]], n[j[part]], num, den)]
+                        found.append(np.stack([x[good], y[good]], 1))
+            both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            one, two = (names.dictionary.take(pa.array(both[:, c])).to_pylist() for c in (0, 1))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([min(u, v) for u, v in zip(one, two, strict=True)], pa.binary()), "b": pa.array([max(u, v) for u, v in zip(one, two, strict=True)], pa.binary())})
 
     return lists.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: (doc_id, n_shingles, component_id, class_size).
+    """One row per document: (doc_id, k2, n_shingles, component_id, class_size), k2 a hash of the text.
 
     Two documents link when den * |A & B| >= num * |A | B| for their sets of distinct
     word n-grams (A-Z lower-cased); component_id is the least doc_id reachable by links.
@@ -204,7 +268,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("k2", F.xxhash64("text"))
     level = spark.sparkContext.broadcast(_sketch(docs, ngram))
     profile = work.save(_profile(docs, level, ngram, num, den), "profile")
     classes = work.save(
@@ -213,16 +277,17 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     slim = classes.select("cid", "n", "bound")
 
-    # groups and the lists of their prefix n-grams
+    # groups, and their lists: those with a common prefix n-gram in one of two overlapping size bands
     groups = classes.groupBy("n", "gid").agg(F.min("cid").alias("head"), F.count("*").alias("members"))
-    heads = classes.join(groups.select(F.col("head").alias("cid")), "cid", "left_semi")
-    posted = heads.select("n", "gid", F.explode("prefix").alias("token"))
-    often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    posted = work.save(posted.join(often, "token"), "posted")
+    posted = classes.join(groups.select(F.col("head").alias("cid")), "cid", "left_semi").select("n", "gid", F.explode("prefix").alias("token"))
+    often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num * (1 + 1e-9))).cast("int")
+    listed = posted.join(often, "token").withColumn("band", band).select("n", "gid", F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("list"))
+    listed = work.save(listed, "listed")
+    leads = listed.groupBy("list").agg(F.min(F.struct("gid", "n")).alias("to"), F.count("*").alias("df")).where("df > 1").select("list", "to")
+    listed = work.save(listed.join(leads, "list"), "lists")
+    tied = listed.where("to.gid <> gid or to.n <> n").where(den * F.least("n", "to.n").cast("long") >= num * F.greatest("n", "to.n").cast("long")).select("n", "gid", F.col("to.n").alias("n2"), F.col("to.gid").alias("gid2")).distinct()
     heads_of = groups.select("n", "gid", "head")
-    ends = posted.groupBy("token").agg(F.min(F.struct("n", "gid")).alias("lo"), F.max(F.struct("n", "gid")).alias("hi"))
-    tied = posted.join(ends, "token").select("n", "gid", F.explode(F.array("lo", "hi")).alias("to")).where((F.col("to.n") != F.col("n")) | (F.col("to.gid") != F.col("gid")))
-    tied = tied.where(den * F.least("n", "to.n").cast("long") >= num * F.greatest("n", "to.n").cast("long")).select("n", "gid", F.col("to.n").alias("n2"), F.col("to.gid").alias("gid2")).distinct()
     stars = tied.join(heads_of, ["n", "gid"]).join(heads_of.select(F.col("n").alias("n2"), F.col("gid").alias("gid2"), F.col("head").alias("head2")), ["n2", "gid2"])
     stars = stars.select(F.least("head", "head2").alias("a"), F.greatest("head", "head2").alias("b"))
     inside = classes.join(groups.where("members > 1"), ["n", "gid"]).where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b"))
@@ -232,34 +297,31 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = components(work, links)
 
     # members of groups whose lists still hold more than one component
-    labelled = classes.select("cid", "n", "gid", "bound").join(found.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
+    labelled = classes.select("cid", "n", "gid").join(found.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
     labelled = work.save(labelled, "labelled")
-    own = labelled.join(groups.where("members > 1").select("n", "gid"), ["n", "gid"]).withColumn("token", F.xxhash64("n", "gid"))
-    rest = posted.select("token", "n", "gid").join(labelled, ["n", "gid"]).unionByName(own.select("token", "n", "gid", "cid", "bound", "comp"))
-    spread = rest.groupBy("token", "comp").agg(F.count("*").alias("m"))
-    open_lists = spread.groupBy("token").agg(F.count("*").alias("comps"), F.sum(F.when(F.col("m") <= BLOCK, F.col("m")).otherwise(0)).alias("loose")).where("comps > 1")
-    parts = spread.join(open_lists, "token").select(
-        "token",
-        "comp",
-        F.when(F.col("m") > BLOCK, F.ceil(F.col("m") / BLOCK)).otherwise(0).cast("int").alias("cuts"),
-        F.pmod(F.xxhash64("comp"), F.greatest(F.ceil(F.col("loose") / BLOCK), F.lit(1))).cast("long").alias("pool"),
-    )
-    placed = rest.join(parts, ["token", "comp"]).select(
-        "token",
-        F.when(F.col("cuts") > 0, F.col("comp")).otherwise(F.lit(b"")).alias("big"),
-        F.when(F.col("cuts") > 0, F.pmod(F.xxhash64("cid"), F.col("cuts"))).otherwise(F.col("pool")).cast("long").alias("part"),
-        F.struct("cid", "n", "comp", "bound").alias("member"),
-    )
-    cut = work.save(placed.groupBy("token", "big", "part").agg(F.collect_list("member").alias("members")), "blocks")
-    left = cut.select("token", F.col("big").alias("b1"), F.col("part").alias("p1"), F.col("members").alias("l"))
-    right = cut.select("token", F.col("big").alias("b2"), F.col("part").alias("p2"), F.col("members").alias("r"))
-    faced = left.join(right, "token").where("(b1 < b2) or (b1 = b2 and b1 = X'' and p1 <= p2)").select("l", "r", F.expr("b1 = b2 and p1 = p2").alias("same"))
-    late = work.save(_block_pairs(faced, num, den), "late")
+    own = labelled.join(groups.where("members > 1").select("n", "gid"), ["n", "gid"]).withColumn("list", F.xxhash64("n", "gid"))
+    rest = listed.select("list", "n", "gid").join(labelled, ["n", "gid"]).unionByName(own.select("list", "n", "gid", "cid", "comp")).drop("gid")
+    spread = rest.groupBy("list").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("list", "m")
+    rest = work.save(rest.join(spread, "list"), "open").join(slim.drop("n"), "cid")
+    member = F.struct("cid", "n", "comp", "bound").alias("member")
+    none = F.lit(None).cast("array<struct<cid:binary,n:int,comp:binary,bound:binary>>")
+    single = rest.where(F.col("m") <= BLOCK).groupBy("list").agg(F.collect_list(member).alias("l")).select("l", none.alias("r"))
+    # longer lists: a component of more than a block has blocks of its own, which do not meet each other
+    long = rest.where(F.col("m") > BLOCK)
+    of = long.groupBy("list", "comp").agg(F.count("*").alias("mc"), F.first("m").alias("all")).select("list", "comp", F.when(F.col("mc") > BLOCK, F.ceil(F.col("mc") / BLOCK)).otherwise(0).cast("int").alias("cuts"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("all") / BLOCK)).cast("long").alias("pool"))
+    big = F.when(F.col("cuts") > 0, F.col("comp")).otherwise(F.lit(bytearray(b"")))
+    part = F.when(F.col("cuts") > 0, F.pmod(F.xxhash64("cid"), F.col("cuts"))).otherwise(F.col("pool")).cast("long")
+    cut = work.save(long.join(of, ["list", "comp"]).groupBy("list", big.alias("big"), part.alias("part")).agg(F.collect_list(member).alias("members")), "blocks")
+    left = cut.select("list", F.col("big").alias("b1"), F.col("part").alias("p1"), F.col("members").alias("l"))
+    right = cut.select("list", F.col("big").alias("b2"), F.col("part").alias("p2"), F.col("members").alias("r"))
+    faced = left.join(right, "list").where("b1 < b2 or (b1 = b2 and b1 = X'' and p1 < p2)").select("l", "r")
+    alone = cut.where("big = X''").select(F.col("members").alias("l"), none.alias("r"))
+    late = work.save(_block_pairs(single.unionByName(alone).unionByName(faced), num, den), "late")
     links2 = _verified(work, docs, classes, late, ngram, num, den)
     found = components(work, links.unionByName(links2))
 
     named = classes.select("cid", "doc", "size").join(found.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid"))
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "comp").select("cid", "component_id", F.col("size").alias("class_size"))
-    out = profile.select("doc_id", "n", "cid").join(named, "cid", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    out = profile.select("doc_id", "k2", "n", "cid").join(named, "cid", "left")
+    return out.select("doc_id", "k2", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
