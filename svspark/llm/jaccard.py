@@ -34,10 +34,10 @@ from svspark.llm.store import Workspace, components, small
 from svspark.llm.words import blocks, mix
 
 #: Counters of the frequency sketch; its size is fixed, so it may be broadcast.
-SKETCH = 1 << 22
+SKETCH = 1 << 24
 #: Members of a block of a list; least and greatest number of bits of a parity bitmap.
 BLOCK = 256
-BITS = (256, 1 << 16)
+BITS = (128, 1 << 16)
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -67,11 +67,11 @@ def _identity(s: np.ndarray) -> bytes:
 
 
 def _parity(s: np.ndarray) -> bytes:
-    """A bitmap whose bits tell the parity of a set's members in each bucket; at least two bits a member.
+    """A bitmap whose bits tell the parity of a set's members in each bucket; at least one bit a member.
 
     Two bitmaps differ in at most as many bits as the sets in members; halves may be folded by XOR.
     """
-    bits = min(BITS[1], max(BITS[0], 1 << (2 * len(s) - 1).bit_length()))
+    bits = min(BITS[1], max(BITS[0], 1 << (len(s) - 1).bit_length()))
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -103,19 +103,17 @@ def _sketch(docs: DataFrame, ngram: int) -> np.ndarray:
         for batch in batches:
             for _, _, block in blocks(batch.column("text"), lower=True):
                 grams, _ = block.ngrams(block.hashes(), ngram)
-                np.add.at(total, (grams >> np.uint64(42)).astype(np.int64), 1)
+                np.add.at(total, (grams >> np.uint64(40)).astype(np.int64), 1)
         everything = int(total.sum())
-        heavy = np.flatnonzero(total >= 4 * everything / SKETCH + 4)
+        heavy = np.flatnonzero(total >= 2 * everything / SKETCH + 2)
         yield pa.RecordBatch.from_pydict({"k": pa.array(np.append(heavy, -1), pa.int32()), "n": pa.array(np.append(total[heavy], everything), pa.int64())})
 
     seen = docs.select("text").mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    top = seen.orderBy(F.col("k") >= 0, F.desc("n"), "k").limit(1 << 16).collect()  # a fixed number of counters, not of n-grams
-    everything = sum(r.n for r in top if r.k < 0)
-    usual = 4 * everything / SKETCH + 32
+    top = seen.orderBy(F.col("k") >= 0, F.desc("n"), "k").limit(1 << 18).toPandas()  # a fixed number of counters, not of n-grams
+    usual = 2 * int(top.n[top.k < 0].sum()) / SKETCH + 8
+    top = top[(top.k >= 0) & (top.n > usual)]
     level = np.zeros(SKETCH, dtype=np.uint8)
-    for r in top:
-        if r.k >= 0 and r.n > usual:
-            level[r.k] = 1 + int(np.log2(r.n / usual))
+    level[top.k.to_numpy()] = 1 + np.log2(top.n.to_numpy() / usual).astype(np.uint8)
     return level
 
 
@@ -127,7 +125,7 @@ def _profile(docs: DataFrame, level, ngram: int, num: int, den: int) -> DataFram
         for batch in batches:
             rows = {k: [] for k in ("n", "cid", "gid", "prefix", "bound")}
             for _, s in _sets(batch, ngram):
-                rank = order[(s >> np.uint64(42)).astype(np.int64)]
+                rank = order[(s >> np.uint64(40)).astype(np.int64)]
                 p = prefix_length(len(s), num, den)
                 prefix = s[:p] if not rank.any() else s[np.lexsort((s, rank))[:p]]
                 rows["n"].append(len(s))
