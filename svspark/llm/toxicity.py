@@ -21,7 +21,7 @@ from svspark.llm.decontaminate import stripped
 from svspark.llm.words import _BASES, _BYTE, blocks, mix
 
 #: The classifier is fitted on at most so many labelled toxic and clean training documents (least hashes of doc_id).
-MAX_TOXIC, MAX_CLEAN = 1000, 3000
+MAX_TOXIC, MAX_CLEAN = 800, 1600
 TABLE = 1 << 18
 PREFIXES = (4, 5, 6)
 SEGMENT = 32
@@ -143,23 +143,41 @@ def _word_labels(slots, counts, toxic):
     doc = np.repeat(np.arange(len(counts)), counts)
     y = np.zeros(len(doc), dtype=bool)
     odds = toxic.sum() / max(1, (~toxic).sum())
+    before = np.concatenate([[-1], slots[0][:-1].astype(np.int64)]) + 1
     for s in slots:
-        seen = np.unique(doc * TABLE + s)
-        d, slot = seen // TABLE, seen % TABLE
-        p = np.bincount(slot[toxic[d]], minlength=TABLE).astype(float)
-        c = np.bincount(slot[~toxic[d]], minlength=TABLE) * odds
+        p, c = None, None
+        for of in (doc, before):  # the same sentence in many copies is one context
+            counted = []
+            for mask in (toxic[doc], ~toxic[doc]):
+                slot = np.unique(of[mask] * TABLE + s[mask]) % TABLE
+                counted.append(np.bincount(slot, minlength=TABLE).astype(float))
+            p = counted[0] if p is None else np.minimum(p, counted[0])
+            c = counted[1] * odds if c is None else np.maximum(c, counted[1] * odds)
         kinds = max(1, int(((p + c) >= 3).sum()))
         strong = (p - 8 * c) * np.log(len(toxic) / toxic.sum()) >= np.log(kinds) + 1  # few enough by chance among so many features
         y |= strong[s]
     return y & toxic[doc]
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 25) -> dict:
+def _in_parts(chain: Chain, slots, counts, limit: int = 100_000):
+    """Marginals, transitions and starts of many documents, in parts of bounded memory."""
+    ends = np.cumsum(counts)
+    out, pairs, begin, lo = [np.zeros(0)], np.zeros((2, 2)), np.zeros(2), 0
+    while lo < len(counts):
+        before = ends[lo] - counts[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        p, t, b = chain.marginals(chain.emissions([s[before : ends[hi - 1]] for s in slots]), counts[lo:hi], True)
+        out.append(p)
+        pairs, begin, lo = pairs + t, begin + b, hi
+    return np.concatenate(out), pairs, begin
+
+
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 16) -> dict:
     """Fit the chain and the calibration; plain arrays of a fixed size."""
     parts = [(features(b), b.counts) for _, _, b in blocks(pa.array(texts, pa.string()))]
     if not parts or not toxic.any() or toxic.all():
         return {"constant": float(bool(len(toxic)) and bool(toxic.all()))}
-    slots = [np.concatenate([p[0][k] for p in parts]) for k in range(len(PREFIXES) + 1)]
+    slots = [np.concatenate([p[0][k] for p in parts]).astype(np.int32) for k in range(len(PREFIXES) + 1)]
     counts = np.concatenate([p[1] for p in parts])
     y = _word_labels(slots, counts, toxic)
     some = counts > 0
@@ -174,8 +192,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 25) -> dict:
     sums = [np.full(TABLE, 1e-2) for _ in slots]
     other = {"bias": 1e-2, "trans": np.full((2, 2), 1e-2), "start": np.full(2, 1e-2)}
     for _ in range(rounds):
-        p, pairs, begin = chain.marginals(chain.emissions(slots), counts, True)
-        left = (y - p) * np.where(y, 1.0, 1.0)
+        p, pairs, begin = _in_parts(chain, slots, counts)
+        left = y - p
         for w, s, g2 in zip(chain.weights, slots, sums, strict=True):
             g = np.bincount(s, left, TABLE) - 0.02 * w
             g2 += g * g
@@ -183,7 +201,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 25) -> dict:
         for name, g in (("bias", left.sum()), ("trans", seen - pairs - 0.02 * chain.trans), ("start", began - begin)):
             other[name] = other[name] + g * g
             setattr(chain, name, getattr(chain, name) + 0.3 * g / np.sqrt(other[name]))
-    x = _summary(chain.marginals(chain.emissions(slots), counts), counts)
+    x = _summary(_in_parts(chain, slots, counts)[0], counts)
     a = np.zeros(3)
     x1 = np.column_stack([np.ones(len(x)), x])
     for _ in range(30):
@@ -215,7 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()  # at most max_toxic + max_clean rows
     rows.sort(key=lambda r: r.doc_id)
-    return train([r.text for r in rows], np.array([r.y == 1 for r in rows], dtype=bool))
+    texts_of = [r.text for r in rows]
+    return train(texts_of, np.array([r.y == 1 for r in rows], dtype=bool))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
