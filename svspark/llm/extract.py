@@ -113,8 +113,9 @@ def default_model() -> dict:
     return train(labelled_pages())
 
 
-#: A mark at or below this weight makes boilerplate of the words inside.
-BOILER = -2.0
+#: A mark at or below this weight makes boilerplate of the words inside.  They never enter the text, so they only
+#: weigh this share of their weight against going on behind them: an advert within an article does not end it.
+BOILER, INSIDE = -2.0, 0.005
 
 
 def extract(page: str, model: dict) -> str:
@@ -134,14 +135,14 @@ def extract(page: str, model: dict) -> str:
                     pieces.append(what)
                 continue
             if worst <= BOILER:
-                run += worst * n
+                run += INSIDE * worst * n
             else:
                 run += n
                 pieces.append(what)
                 if run > best:
                     best, span = run, (start, len(pieces))
         else:
-            run += cost.get(what, -0.3)
+            run += cost.get(what, -0.3) * (1 if worst > BOILER else INSIDE)
             if what in BLOCK:
                 pieces.append(None)
             if kind == "open":
