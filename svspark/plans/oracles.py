@@ -109,4 +109,6 @@ ORACLE_SQL: dict[str, str] = {
     "cluster_size_filter": duck("aln") + "select read_id % 997 as cluster_id, count(*) as n, count(distinct (library_id, read_id)) as n_reads from aln group by 1 having count(*) >= 2 and count(distinct (library_id, read_id)) >= 2",
     "reference_regions": "select cast(p_partkey % 23 + 1 as varchar) as chromosome, count(*) as n, cast(sum(p_partkey * 100 + 1) as bigint) as starts, cast(sum(p_partkey * 100 + p_size) as bigint) as ends from part where p_size % 2 = 0 and p_partkey % 23 + 1 <= 20 group by 1",
     "tabulate_reads": duck("aln") + ", r as (select library_id, read_id, read_end, max(aligned_length) as length from aln group by 1, 2, 3), p as (select distinct library_id, read_id from aln where mate_score < 30) select r.read_id % 997 as cluster_id, r.library_id, r.read_id, r.read_end, r.length, p.read_id is null as filtered from r left join p using (library_id, read_id)",
+    "event_windows": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2",
+    "event_mates": "select a.user_id as name, count(*) as n, round(sum(a.value), 4) as v1, round(sum(b.value), 4) as v2 from events a join events b on a.user_id = b.user_id and a.event_type = 'view' and b.event_type = 'click' and b.ts between a.ts - interval 10 minutes and a.ts + interval 10 minutes group by 1",
 }

@@ -398,7 +398,7 @@ def cluster_size_filter(spark, d):
 
 @query
 def connected_components(spark, d):
-    a = view(spark, d, "aln").where("read_id % 11 = 0" if False else "mate_score >= 0")
+    a = view(spark, d, "aln").where("mate_score >= 0")
     edges = a.select((F.col("read_id") * 2).alias("a"), (F.col("position") % 4001 * 2 + 1).alias("b")).where("a % 5 = 0")
     return graph.connected_components(edges, "a", "b")
 
@@ -473,3 +473,21 @@ def predict_breaks(spark, d):
 @query
 def tabulate_reads(spark, d):
     return pipeline.demo_reads(spark, d)
+
+
+@query
+def event_windows(spark, d):
+    """An extension: the batch form of the windowed stream."""
+    from svspark.streaming.mates import window_counts
+
+    return window_counts(_t(spark, d, "events"), "1 hour")
+
+
+@query
+def event_mates(spark, d):
+    """An extension: the batch form of the stream-stream mate join; views and clicks of a user within ten minutes."""
+    from svspark.streaming.mates import stream_mates
+
+    e = _t(spark, d, "events").where("event_type in ('view', 'click')")
+    rows = e.select(F.col("user_id").alias("name"), "ts", "value", F.when(F.col("event_type") == "view", 0).otherwise(1).alias("read_end"))
+    return stream_mates(rows).groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("value_1"), 4).alias("v1"), F.round(F.sum("value_2"), 4).alias("v2"))

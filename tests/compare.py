@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 
 import duckdb
@@ -21,6 +22,8 @@ def _norm(v):
         return None if math.isnan(v) else round(v, 6) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(map(_norm, v))
+    if isinstance(v, datetime.datetime):
+        return v.isoformat()
     return v if isinstance(v, (int, str, bool, bytes, type(None))) else _norm(float(v))
 
 
