@@ -37,7 +37,7 @@ from svspark.llm.words import blocks, mix
 SKETCH = 1 << 24
 #: Members of a block of a list; least and greatest number of bits of a parity bitmap.
 BLOCK = 256
-BITS = (128, 1 << 16)
+BITS = (256, 1 << 17)
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -67,11 +67,11 @@ def _identity(s: np.ndarray) -> bytes:
 
 
 def _parity(s: np.ndarray) -> bytes:
-    """A bitmap whose bits tell the parity of a set's members in each bucket; at least one bit a member.
+    """A bitmap whose bits tell the parity of a set's members in each bucket; at least two bits a member.
 
     Two bitmaps differ in at most as many bits as the sets in members; halves may be folded by XOR.
     """
-    bits = min(BITS[1], max(BITS[0], 1 << (len(s) - 1).bit_length()))
+    bits = min(BITS[1], max(BITS[0], 1 << (2 * len(s) - 1).bit_length()))
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -212,6 +212,19 @@ def _block_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
         i = np.repeat(at[heads] + place, many)
         return i, np.repeat(first, many) + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
 
+    def only_once(flat, tokens, of, found):
+        """Of pairs in long lists, those for which the list's n-gram is the least that both prefixes share: one list answers for a pair."""
+        prefixes = flat.field("prefix")
+        held: dict[int, frozenset] = {}
+
+        def prefix(i):
+            if i not in held:
+                held[i] = frozenset(prefixes[i].as_py() or ())
+            return held[i]
+
+        keep = [row for part in found for row in part.tolist() if tokens[of[row[2]]] is None or tokens[of[row[2]]] == min(prefix(row[2]) & prefix(row[3]))]
+        return np.array(keep, dtype=np.int64).reshape(-1, 4)
+
     def run(batches):
         for batch in batches:
             left, right = batch.column("l"), batch.column("r")
@@ -219,13 +232,16 @@ def _block_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
             m, m2 = (pc.fill_null(pc.list_value_length(x), 0).to_numpy().astype(np.int64) for x in (left, right))
             at, at2 = np.cumsum(m) - m, int(m.sum()) + np.cumsum(m2) - m2
             n = flat.field("n").to_numpy().astype(np.int64)
-            comp = flat.field("comp").dictionary_encode().indices.to_numpy().astype(np.int64)
+            comp = flat.field("comp").to_numpy()
             names = flat.field("cid").dictionary_encode()
             cid = names.indices.to_numpy().astype(np.int64)
             bound = flat.field("bound").cast(pa.large_binary())
             offsets = np.frombuffer(bound.buffers()[1], dtype=np.int64)[bound.offset : bound.offset + len(bound) + 1]
             bits = np.frombuffer(bound.buffers()[2], dtype=np.uint8) if len(bound) else np.zeros(0, np.uint8)
             words = np.diff(offsets) // 8
+            tokens = batch.column("token").to_pylist()
+            long = np.array([t is not None for t in tokens], dtype=bool)
+            of = np.concatenate([np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(m2)), m2)])
             cost = np.where(m2 == 0, m * m // 2, m * m2)
             cuts = np.searchsorted(np.cumsum(cost), np.arange(0, int(cost.sum()) + 1, 1 << 18), side="left")
             found = []
@@ -234,7 +250,8 @@ def _block_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
                 ok = (comp[i] != comp[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
                 i, j = i[ok], j[ok]
                 x, y = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
-                _, once = np.unique(x * len(names.dictionary) + y, return_index=True)
+                key = np.stack([x, y, np.where(long[of[i]], of[i], -1)], 1)  # in long lists a pair is told apart by list
+                _, once = np.unique(key, axis=0, return_index=True)
                 i, j, x, y = i[once], j[once], x[once], y[once]
                 sizes = words[i] * (1 << 20) + words[j]
                 for size in np.unique(sizes):
@@ -245,8 +262,11 @@ def _block_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
                         p, q = (bits[offsets[e[part]][:, None] + np.arange(8 * w)].view(np.uint64) for e, w in ((i, wi), (j, wj)))
                         differ = np.bitwise_count(_fold(p, min(wi, wj)) ^ _fold(q, min(wi, wj))).sum(1).astype(np.int64)
                         good = part[_may_link(differ, n[i[part]], n[j[part]], num, den)]
-                        found.append(np.stack([x[good], y[good]], 1))
-            both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                        found.append(np.stack([x[good], y[good], i[good], j[good]], 1))
+            if long.any():
+                found = [only_once(flat, tokens, of, found)]
+            both = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+            both = np.unique(both[:, :2], axis=0)
             one, two = (names.dictionary.take(pa.array(both[:, c])).to_pylist() for c in (0, 1))
             yield pa.RecordBatch.from_pydict({"a": pa.array([min(u, v) for u, v in zip(one, two, strict=True)], pa.binary()), "b": pa.array([max(u, v) for u, v in zip(one, two, strict=True)], pa.binary())})
 
@@ -280,7 +300,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posted = classes.join(groups.select(F.col("head").alias("cid")), "cid", "left_semi").select("n", "gid", F.explode("prefix").alias("token"))
     often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num * (1 + 1e-9))).cast("int")
-    listed = posted.join(often, "token").withColumn("band", band).select("n", "gid", F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("list"))
+    listed = posted.join(often, "token").withColumn("band", band).select("n", "gid", "token", F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("list"))
     listed = work.save(listed, "listed")
     leads = listed.groupBy("list").agg(F.min(F.struct("gid", "n")).alias("to"), F.count("*").alias("df")).where("df > 1").select("list", "to")
     listed = work.save(listed.join(leads, "list"), "lists")
@@ -295,25 +315,26 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = components(work, links)
 
     # members of groups whose lists still hold more than one component
-    labelled = classes.select("cid", "n", "gid").join(found.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
+    labelled = classes.select("cid", "n", "gid").join(found.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.xxhash64(F.coalesce("label", "cid"))).drop("label")  # names only compared within a list
     labelled = work.save(labelled, "labelled")
     own = labelled.join(groups.where("members > 1").select("n", "gid"), ["n", "gid"]).withColumn("list", F.xxhash64("n", "gid"))
-    rest = listed.select("list", "n", "gid").join(labelled, ["n", "gid"]).unionByName(own.select("list", "n", "gid", "cid", "comp")).drop("gid")
+    rest = listed.select("list", "token", "n", "gid").join(labelled, ["n", "gid"]).unionByName(own.withColumn("token", F.lit(None).cast("long")).select("list", "token", "n", "gid", "cid", "comp")).drop("gid")
     spread = rest.groupBy("list").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("list", "m")
     rest = work.save(rest.join(spread, "list"), "open").join(slim.drop("n"), "cid")
-    member = F.struct("cid", "n", "comp", "bound").alias("member")
-    none = F.lit(None).cast("array<struct<cid:binary,n:int,comp:binary,bound:binary>>")
-    single = rest.where(F.col("m") <= BLOCK).groupBy("list").agg(F.collect_list(member).alias("l")).select("l", none.alias("r"))
+    member = F.struct("cid", "n", "comp", "bound", "prefix").alias("member")
+    none = F.lit(None).cast("array<struct<cid:binary,n:int,comp:bigint,bound:binary,prefix:array<bigint>>>")
+    short, long = rest.where(F.col("m") <= BLOCK), rest.where(F.col("m") > BLOCK).join(classes.select("cid", "prefix"), "cid")
+    short = short.withColumn("prefix", F.lit(None).cast("array<bigint>"))
+    single = short.groupBy("list").agg(F.collect_list(member).alias("l")).select(F.lit(None).cast("long").alias("token"), "l", none.alias("r"))
     # longer lists: a component of more than a block has blocks of its own, which do not meet each other
-    long = rest.where(F.col("m") > BLOCK)
     of = long.groupBy("list", "comp").agg(F.count("*").alias("mc"), F.first("m").alias("all")).select("list", "comp", F.when(F.col("mc") > BLOCK, F.ceil(F.col("mc") / BLOCK)).otherwise(0).cast("int").alias("cuts"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("all") / BLOCK)).cast("long").alias("pool"))
-    big = F.when(F.col("cuts") > 0, F.col("comp")).otherwise(F.lit(bytearray(b"")))
+    big = F.when(F.col("cuts") > 0, F.col("comp"))
     part = F.when(F.col("cuts") > 0, F.pmod(F.xxhash64("cid"), F.col("cuts"))).otherwise(F.col("pool")).cast("long")
-    cut = work.save(long.join(of, ["list", "comp"]).groupBy("list", big.alias("big"), part.alias("part")).agg(F.collect_list(member).alias("members")), "blocks")
-    left = cut.select("list", F.col("big").alias("b1"), F.col("part").alias("p1"), F.col("members").alias("l"))
+    cut = work.save(long.join(of, ["list", "comp"]).groupBy("list", big.alias("big"), part.alias("part")).agg(F.first("token").alias("token"), F.collect_list(member).alias("members")), "blocks")
+    left = cut.select("list", "token", F.col("big").alias("b1"), F.col("part").alias("p1"), F.col("members").alias("l"))
     right = cut.select("list", F.col("big").alias("b2"), F.col("part").alias("p2"), F.col("members").alias("r"))
-    faced = left.join(right, "list").where("b1 < b2 or (b1 = b2 and b1 = X'' and p1 < p2)").select("l", "r")
-    alone = cut.where("big = X''").select(F.col("members").alias("l"), none.alias("r"))
+    faced = left.join(right, "list").where("(b1 is null and b2 is not null) or b1 < b2 or (b1 is null and b2 is null and p1 < p2)").select("token", "l", "r")
+    alone = cut.where("big is null").select("token", F.col("members").alias("l"), none.alias("r"))
     late = work.save(_block_pairs(single.unionByName(alone).unionByName(faced), num, den), "late")
     links2 = _verified(work, docs, classes, late, ngram, num, den)
     found = components(work, links.unionByName(links2))

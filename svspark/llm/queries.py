@@ -7,6 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from svspark.llm.oracles import ORACLE_SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -110,4 +112,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_remove_repeats": op6_remove_repeats,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
