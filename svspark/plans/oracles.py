@@ -111,4 +111,15 @@ ORACLE_SQL: dict[str, str] = {
     "tabulate_reads": duck("aln") + ", r as (select library_id, read_id, read_end, max(aligned_length) as length from aln group by 1, 2, 3), p as (select distinct library_id, read_id from aln where mate_score < 30) select r.read_id % 997 as cluster_id, r.library_id, r.read_id, r.read_end, r.length, p.read_id is null as filtered from r left join p using (library_id, read_id)",
     "event_windows": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2",
     "event_mates": "select a.user_id as name, count(*) as n, round(sum(a.value), 4) as v1, round(sum(b.value), 4) as v2 from events a join events b on a.user_id = b.user_id and a.event_type = 'view' and b.event_type = 'click' and b.ts between a.ts - interval 10 minutes and a.ts + interval 10 minutes group by 1",
+    "connected_components": duck("aln").replace("with ", "with recursive ", 1) + ", g as (select distinct read_id * 2 as a, position % 200003 * 2 + 1 as b from aln where read_id * 2 % 5 = 0), h as (select a as v, b as w from g union select b, a from g), reach as (select v, v as w from h union select reach.v, h.w from reach join h on reach.w = h.v) select v as vertex, min(w) as component from reach group by 1",
+    "linkage_clusters": duck("brk").replace("with ", "with recursive ", 1) + ", " + _BRK + ", h as (select a.prediction_id as v, b.prediction_id as w from e a join e b on a.chromosome_1 = b.chromosome_1 and abs(a.position_1 - b.position_1) < 300 and abs(a.position_2 - b.position_2) < 300 and power(a.position_1 - b.position_1, 2) + power(a.position_2 - b.position_2, 2) < 90000), reach as (select prediction_id as v, prediction_id as w from e union select reach.v, h.w from reach join h on reach.w = h.v) select v as prediction_id, min(w) as component from reach group by 1",
+    "predict_breaks": duck("aln") + f""", sp as (select library_id, read_id, read_end, align_id, max(chromosome) as chromosome, max(strand) as strand, max(position) as position, max(aligned_length) as aligned_length, max(mate_score) as mate_score from aln group by 1, 2, 3, 4),
+sc as (select cluster_id, round(avg(m), 6) as mate_score from (select read_id % 997 as cluster_id, max(mate_score) as m from sp group by 1, library_id, read_id) group by 1),
+ev as (select read_id % 997 as cluster_id, read_end, max(chromosome) as chromosome, max(strand) as strand, min({_STARTS}) as s, max({_ENDS}) as e from sp group by 1, 2),
+ep as (select *, case when strand = '+' then e else s end as position from ev),
+z as (select cluster_id, 0 as breakpoint_id, max(case when read_end = 0 then chromosome end) as chromosome_1, max(case when read_end = 0 then strand end) as strand_1, max(case when read_end = 0 then position end) as position_1, max(case when read_end = 1 then chromosome end) as chromosome_2, max(case when read_end = 1 then strand end) as strand_2, max(case when read_end = 1 then position end) as position_2, 0 as homology, 0 as count, '' as inserted from ep group by 1),
+c as (select a.read_id % 997 as cluster_id, a.chromosome as chromosome_1, a.strand as strand_1, a.position % 100 as position_1, b.chromosome as chromosome_2, b.strand as strand_2, b.position % 90 as position_2, cast(a.position % 100 % 4 as int) as homology, case when b.position % 90 % 3 = 0 then '' else 'AC' end as inserted, b.mate_score as score from sp a join sp b on a.library_id = b.library_id and a.read_id = b.read_id and a.read_end = 0 and b.read_end = 1),
+v as (select cluster_id, max(chromosome_1) as chromosome_1, max(strand_1) as strand_1, position_1, max(chromosome_2) as chromosome_2, max(strand_2) as strand_2, position_2, homology, count(*) as count, max(inserted) as inserted, sum(score) as score, length(inserted) as inslen from c group by cluster_id, position_1, position_2, homology, length(inserted)),
+r as (select *, row_number() over (partition by cluster_id order by score desc, position_1 desc, position_2 desc, homology desc, inslen desc) as breakpoint_id from v)
+select u.*, sc.mate_score from (select cluster_id, breakpoint_id, chromosome_1, strand_1, position_1, chromosome_2, strand_2, position_2, homology, cast(count as int) as count, inserted from z union all select cluster_id, cast(breakpoint_id as int), chromosome_1, strand_1, position_1, chromosome_2, strand_2, position_2, homology, cast(count as int), inserted from r where breakpoint_id <= 10) u join sc using (cluster_id)""",
 }

@@ -399,7 +399,7 @@ def cluster_size_filter(spark, d):
 @query
 def connected_components(spark, d):
     a = view(spark, d, "aln").where("mate_score >= 0")
-    edges = a.select((F.col("read_id") * 2).alias("a"), (F.col("position") % 4001 * 2 + 1).alias("b")).where("a % 5 = 0")
+    edges = a.select((F.col("read_id") * 2).alias("a"), (F.col("position") % 200003 * 2 + 1).alias("b")).where("a % 5 = 0")
     return graph.connected_components(edges, "a", "b")
 
 
