@@ -351,4 +351,7 @@ def mixture_clusters(pairs: DataFrame, component: str = "component") -> DataFram
         got = gibbs(*(pdf[c].tolist() for c in "xyus")) if len(pdf) > 1 else [0] * len(pdf)
         return pd.DataFrame({component: key[0], "pair_id": pdf["pair_id"], "cluster": [int(pdf["pair_id"][i]) for i in got]})
 
-    return pairs.groupBy(component).applyInPandas(run, f"{component} {kind}, pair_id long, cluster long")
+    size = pairs.groupBy(component).agg(F.count("*").alias("_n"))
+    sized = pairs.join(size, component)
+    alone = sized.where("_n = 1").select(component, "pair_id", F.col("pair_id").alias("cluster"))
+    return sized.where("_n > 1").drop("_n").groupBy(component).applyInPandas(run, f"{component} {kind}, pair_id long, cluster long").unionByName(alone)
