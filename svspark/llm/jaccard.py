@@ -37,6 +37,8 @@ from svspark.llm.words import blocks, mix
 SKETCH = 1 << 24
 #: Members of a block of a list; least and greatest number of bits of a parity bitmap.
 BLOCK = 256
+#: Lists of at most so many members are paired first and bounded after, since long texts are in many of them.
+SHORT = 32
 BITS = (256, 1 << 17)
 
 
@@ -199,6 +201,11 @@ def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a binary, b binary")
 
 
+def _with_bounds(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+    a, b = (slim.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("bound").alias(f"x{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b")
+
+
 def _block_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of members (l, r) of two blocks of a list, or of one, that pass the bounds and lie in different components."""
 
@@ -257,6 +264,9 @@ def _block_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
                 for size in np.unique(sizes):
                     pick = np.flatnonzero(sizes == size)
                     wi, wj = int(size) >> 20, int(size) & ((1 << 20) - 1)
+                    if not wi or not wj:  # members without a bitmap: bounded later
+                        found.append(np.stack([x[pick], y[pick], i[pick], j[pick]], 1))
+                        continue
                     for k in range(0, len(pick), max(1, (1 << 19) // max(wi, wj))):
                         part = pick[k : k + max(1, (1 << 19) // max(wi, wj))]
                         p, q = (bits[offsets[e[part]][:, None] + np.arange(8 * w)].view(np.uint64) for e, w in ((i, wi), (j, wj)))
@@ -310,7 +320,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = stars.select(F.least("head", "head2").alias("a"), F.greatest("head", "head2").alias("b"))
     inside = classes.join(groups.where("members > 1"), ["n", "gid"]).where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b"))
     stars = stars.unionByName(inside).distinct()
-    stars = stars.join(slim.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bound").alias("xa")), "a").join(slim.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bound").alias("xb")), "b")
+    stars = _with_bounds(stars, slim)
     links = _verified(work, docs, classes, work.save(_bounded(stars, num, den), "stars"), ngram, num, den)
     found = components(work, links)
 
@@ -320,7 +330,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = labelled.join(groups.where("members > 1").select("n", "gid"), ["n", "gid"]).withColumn("list", F.xxhash64("n", "gid"))
     rest = listed.select("list", "token", "n", "gid").join(labelled, ["n", "gid"]).unionByName(own.withColumn("token", F.lit(None).cast("long")).select("list", "token", "n", "gid", "cid", "comp")).drop("gid")
     spread = rest.groupBy("list").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("list", "m")
-    rest = work.save(rest.join(spread, "list"), "open").join(slim.drop("n"), "cid")
+    rest = work.save(rest.join(spread, "list"), "open")
+    light = rest.where(F.col("m") <= SHORT).select("list", F.struct("cid", "n", "comp", F.lit(None).cast("binary").alias("bound"), F.lit(None).cast("array<bigint>").alias("prefix")).alias("member"))
+    rest = rest.where(F.col("m") > SHORT).join(slim.drop("n"), "cid")
     member = F.struct("cid", "n", "comp", "bound", "prefix").alias("member")
     none = F.lit(None).cast("array<struct<cid:binary,n:int,comp:bigint,bound:binary,prefix:array<bigint>>>")
     short, long = rest.where(F.col("m") <= BLOCK), rest.where(F.col("m") > BLOCK).join(classes.select("cid", "prefix"), "cid")
@@ -335,7 +347,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     right = cut.select("list", F.col("big").alias("b2"), F.col("part").alias("p2"), F.col("members").alias("r"))
     faced = left.join(right, "list").where("(b1 is null and b2 is not null) or b1 < b2 or (b1 is null and b2 is null and p1 < p2)").select("token", "l", "r")
     alone = cut.where("big is null").select("token", F.col("members").alias("l"), none.alias("r"))
-    late = work.save(_block_pairs(single.unionByName(alone).unionByName(faced), num, den), "late")
+    paired = _block_pairs(light.groupBy("list").agg(F.collect_list("member").alias("l")).select(F.lit(None).cast("long").alias("token"), "l", none.alias("r")), num, den)
+    checked = _bounded(_with_bounds(paired, slim), num, den)
+    late = work.save(checked.unionByName(_block_pairs(single.unionByName(alone).unionByName(faced), num, den)).distinct(), "late")
     links2 = _verified(work, docs, classes, late, ngram, num, den)
     found = components(work, links.unionByName(links2))
 
