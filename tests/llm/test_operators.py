@@ -87,8 +87,10 @@ def test_jaccard_equals_brute_force(docs, n, num):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(texts(), n, num, 100)
 
 
-def test_jaccard_long_lists_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 4)
+@pytest.mark.parametrize("short,block", [(2, 256), (2, 6), (32, 4)])
+def test_jaccard_long_lists_are_cut_into_blocks(spark, monkeypatch, short, block):
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(3)
     base = ["b%d" % i for i in range(60)]
     rows = []
