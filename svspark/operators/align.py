@@ -33,6 +33,8 @@ def prefix_scores(refs: list[str], reads: list[str], band: int | None = 7, match
         return []
     wr, ws = max(map(len, refs)), max(map(len, reads))
     band = max(wr, ws) if band is None else band
+    refs = [x[: ws + band] for x in refs]  # the band reaches no further
+    wr = max(map(len, refs))
     r, s = _letters(refs, wr, -1), _letters(reads, ws, -2)
     len_r = np.array([len(x) for x in refs])
     k = np.arange(2 * band + 1)
@@ -102,7 +104,7 @@ def banded_alignment(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def seed_alignment(ref: pd.Series, seed: pd.Series) -> pd.Series:
-    return pd.Series([end_to_end(a or "", b or "") for a, b in zip(ref, seed, strict=True)])
+    return pd.Series([np.array(end_to_end(a or "", b or ""), dtype=np.int32) for a, b in zip(ref, seed, strict=True)])
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("score", "first", "second")]))

@@ -120,7 +120,7 @@ def topn_per_cluster(spark, d):
 
 @query
 def mode_consensus(spark, d):
-    rows = view(spark, d, "seqs").select((F.col("doc_id") % 37).alias("k"), F.substring("seq", 1, 40).alias("inserted"))
+    rows = view(spark, d, "seqs").select((F.col("doc_id") % 37).alias("k"), F.col("seq").alias("inserted"))
     return agg.mode_consensus(rows, ["k"])
 
 
@@ -293,7 +293,7 @@ def break_sequence(spark, d):
 
 @query
 def microhomology(spark, d):
-    s = view(spark, d, "seqs").where(F.length("seq") >= 200)
+    s = view(spark, d, "seqs")
     other = seq.reverse_complement(F.col("seq"))
     s1, s2 = F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-"), F.when(F.col("doc_id") % 3 == 0, "+").otherwise("-")
     m = seq.microhomology(F.col("seq"), s1, F.lit(60), other, s2, (F.col("doc_id") % 50 + 40).cast("int"), 10)
@@ -418,19 +418,19 @@ def set_cover_assign(spark, d):
 
 @query
 def banded_alignment(spark, d):
-    s = view(spark, d, "seqs").select("doc_id", F.substring("seq", 1, 200).alias("ref"), F.concat(F.substring("seq", 1, 20), F.substring("seq", 22, 50)).alias("read"))
+    s = view(spark, d, "seqs").select("doc_id", F.col("seq").alias("ref"), F.concat(F.substring("seq", 1, 20), F.substring("seq", 22, 50)).alias("read"))
     return s.select("doc_id", align.banded_alignment("ref", "read").alias("a")).select("doc_id", F.element_at("a.scores", -1).alias("score"), F.element_at("a.ref_lengths", -1).alias("ref_length"))
 
 
 @query
 def seed_alignment(spark, d):
-    s = view(spark, d, "seqs").where(F.length("seq") > 60)
+    s = view(spark, d, "seqs")
     return s.select("doc_id", align.seed_alignment(F.col("seq"), F.substring("seq", 30, 16)).alias("a")).select("doc_id", F.array_max("a").alias("score"), F.array_position("a", F.array_max("a")).alias("position"))
 
 
 @query
 def best_split(spark, d):
-    s = view(spark, d, "seqs").where(F.length("seq") > 200)
+    s = view(spark, d, "seqs")
     read = F.concat(F.substring("seq", 1, 30), F.substring("seq", 101, 30))
     rows = s.select("doc_id", align.banded_alignment(F.substring("seq", 1, 60), read).alias("f"), align.banded_alignment(F.reverse(F.substring("seq", 71, 60)), F.reverse(read)).alias("r"))
     return rows.select("doc_id", align.split_alignment("f.scores", "r.scores").alias("x")).select("doc_id", "x.score", "x.first", "x.second")
