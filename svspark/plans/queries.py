@@ -240,12 +240,12 @@ def rearrangement_types(spark, d):
 
 @query
 def somatic_filter(spark, d):
-    return somatic.somatic(*somatic.demo_inputs(_ends(spark, d), view(spark, d, "brklib")))
+    return somatic.somatic(*somatic.demo_inputs(_ends(spark, d), view(spark, d, "brkreads")))
 
 
 @query
 def changepoints(spark, d):
-    return somatic.changepoints(*somatic.demo_inputs(_ends(spark, d), view(spark, d, "brklib"))[:2])
+    return somatic.changepoints(*somatic.demo_inputs(_ends(spark, d), view(spark, d, "brkreads"))[:2])
 
 
 @query

@@ -64,7 +64,7 @@ def demo_inputs(ends: DataFrame, libraries: DataFrame):
     rows = ends.select(
         (F.col("prediction_id") % 100000000).alias("pid"), "library_id", *[f"{c}_{i}" for i in (1, 2) for c in ("chromosome", "strand", "position")], kind.alias("type"), m.alias("m"),
     )
-    rows = rows.where("pid < 5000").groupBy(F.col("pid").alias("prediction_id")).agg(F.min(F.struct("library_id", "chromosome_1", "strand_1", "position_1", "chromosome_2", "strand_2", "position_2", "type", "m")).alias("b"))
+    rows = rows.groupBy(F.col("pid").alias("prediction_id")).agg(F.min(F.struct("library_id", "chromosome_1", "strand_1", "position_1", "chromosome_2", "strand_2", "position_2", "type", "m")).alias("b"))
     m = F.col("b.m")
     b = rows.select("prediction_id", *[f"b.{c}_{i}" for i in (1, 2) for c in ("chromosome", "strand", "position")], "b.type", (m + 1).alias("num_reads"), (m % 7).alias("num_split"), (-m / 4.0).alias("log_likelihood"), (m * 10).alias("template_length_min"), F.when(m % 10 == 9, "dgv").alias("dgv_ids"))
     patients = libraries.sparkSession.createDataFrame([("p1", "lib0"), ("p1", "lib1"), ("p2", "lib2"), ("p2", "lib3")], "patient_id string, library string")

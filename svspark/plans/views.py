@@ -38,6 +38,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         """select read_id % 5000 as prediction_id, concat('lib', cast(library_id as {S})) as library, count(*) as num_reads, count(distinct concat(cast(position as {S}), strand)) as num_unique_reads
         from ({aln}) t group by read_id % 5000, library_id""",
     ),
+    "brkreads": (
+        ["lineitem"],
+        """select read_id as prediction_id, concat('lib', cast(library_id as {S})) as library, count(*) as num_reads, count(distinct concat(cast(position as {S}), strand)) as num_unique_reads
+        from ({aln}) t group by read_id, library_id""",
+    ),
     "seqs": (
         ["documents"],
         """select doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as seq from documents where text is not null""",

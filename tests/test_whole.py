@@ -1,5 +1,6 @@
 """Queries read whole tables; where the registered SQL still has a cut, its text without that cut is the measure."""
 
+import duckdb
 import pytest
 from compare import connect, differences
 from test_queries import SF
@@ -62,3 +63,25 @@ def test_alignments_read_whole_texts(spark, small):
     assert {r.doc_id: (r.score, r.first, r.second) for r in QUERIES["best_split"](spark, small).collect()} == splits
     far = prefix_scores(["A" * 5000, "ACG"], ["AAAA", "ACGTACGTACGTACGT"])
     assert far == [one("A" * 5000, "AAAA"), one("ACG", "ACGTACGTACGTACGT")]
+
+
+LINES = "l_suppkey long, l_orderkey long, l_linenumber long, l_partkey long, l_returnflag string, l_quantity double, l_discount double"
+
+
+def orders(spark, tmp_path, *rows):
+    """A lineitem table of (order, supplier, parts): one line for each part; and DuckDB over it."""
+    lines = [(supplier, order, k, part, "N", 1.0, 0.03) for order, supplier, parts in rows for k, part in enumerate(parts, 1)]
+    spark.createDataFrame(lines, LINES).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    return str(tmp_path), con
+
+
+def test_somatic_queries_read_every_id(spark, tmp_path):
+    d, con = orders(spark, tmp_path, (7001, 1, (23, 46)), (9001, 4, (69, 92)), (2001, 4, (115, 138)), (12001, 1, (161, 184)))
+    got = {name: QUERIES[name](spark, d) for name in ("somatic_filter", "changepoints")}
+    for name, df in got.items():
+        every = whole(name, (" where prediction_id % 100000000 < 5000", ""), ("read_id % 5000", "read_id"))
+        assert every.count("5000") == 0 and differences(df, con, every) == []
+    assert {r.prediction_id for r in got["somatic_filter"].collect()} == {7001, 12001}
+    assert {r.position for r in got["changepoints"].collect()} == {2301, 4601, 16101, 18401}
