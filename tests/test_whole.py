@@ -85,3 +85,18 @@ def test_somatic_queries_read_every_id(spark, tmp_path):
         assert every.count("5000") == 0 and differences(df, con, every) == []
     assert {r.prediction_id for r in got["somatic_filter"].collect()} == {7001, 12001}
     assert {r.position for r in got["changepoints"].collect()} == {2301, 4601, 16101, 18401}
+
+
+def test_components_have_every_edge(spark, tmp_path):
+    # reads 5 and 10 meet only by way of 7, which 5 does not divide
+    d, con = orders(spark, tmp_path, (5, 1, (10,)), (7, 2, (10, 20)), (10, 3, (20,)), (11, 1, (30,)))
+    got = QUERIES["connected_components"](spark, d)
+    assert differences(got, con, whole("connected_components", (" where read_id * 2 % 5 = 0", ""))) == []
+    of = {r.vertex: r.component for r in got.collect()}
+    assert of[10] == of[14] == of[20] == 10 and of[22] == 22
+
+
+def test_shards_have_every_row(spark, con):
+    every, distinct = con.execute("with a as (select distinct l_suppkey % 4 as lib, l_orderkey as read_id, l_linenumber as n, l_partkey * 100 + floor(l_quantity) as position, l_partkey, l_quantity, l_discount, l_returnflag = 'R' as s from lineitem) select count(*) + count(*) filter (where read_id % 6 = 0), count(distinct (read_id, position)) from a").fetchone()
+    got = QUERIES["union_shards"](spark, SF).collect()
+    assert [(r.n_all, r.n_distinct) for r in got] == [(every, distinct)]
