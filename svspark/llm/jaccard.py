@@ -22,6 +22,7 @@ The frequency sketch only chooses the order, which affects speed, not results.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,31 +36,53 @@ from svspark.llm.words import blocks, mix
 
 #: Counters of the frequency sketch; its size is fixed, so it may be broadcast.
 SKETCH = 1 << 24
-#: Members of a block of a list; least and greatest number of bits of a parity bitmap.
-BLOCK = 256
-#: Lists of at most so many members are paired first and bounded after, since long texts are in many of them.
-SHORT = 32
-BITS = (256, 1 << 17)
+#: The sketch comes to the driver in this many compressed slices, one byte a counter: at most 16 MB at any input size.
+SLICES = 64
+#: Members of a block of a list; a list of at most SHORT members is paired as it is, without blocks.
+BLOCK, SHORT = 256, 32
+#: Least and greatest number of bits of a parity bitmap; the least one also goes with each member of a short list.
+BITS = (256, 1 << 16)
+
+
+#: The columns of the smallest bitmap, four 64-bit words.
+MINI = ("m0", "m1", "m2", "m3")
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1 if n else 0
 
 
-def _sets(batch: pa.RecordBatch, ngram: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row and sorted distinct n-gram hashes; a shorter text is one n-gram, a text without words has none."""
+def _paired_sets(batch: pa.RecordBatch, ngram: int) -> Iterator[tuple[tuple[int, np.ndarray], tuple[int, np.ndarray]]]:
+    """Each row's set twice: sorted distinct hashes, and other hashes of the same n-grams in that order."""
     for at, _, block in blocks(batch.column("text"), lower=True):
         h = block.hashes()
         grams, first = block.ngrams(h, ngram)
+        other, _ = block.ngrams(h, ngram, 1)
         counts = block.counts
         for i in range(len(counts)):
             if counts[i] >= ngram:
-                yield at + i, np.unique(grams[first[i] : first[i + 1]])
-            elif counts[i]:
-                whole = h[block.first[i] : block.first[i + 1]]
-                yield at + i, mix(np.array([np.bitwise_xor.reduce(mix(whole + np.arange(len(whole), dtype=np.uint64))) + np.uint64(977 * len(whole))], dtype=np.uint64))
+                s, where = np.unique(grams[first[i] : first[i + 1]], return_index=True)
+                yield (at + i, s), (at + i, other[first[i] : first[i + 1]][where])
             else:
-                yield at + i, np.zeros(0, dtype=np.uint64)
+                s = _short(h[block.first[i] : block.first[i + 1]])
+                yield (at + i, s), (at + i, mix(s))
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """The set of a text of fewer words than an n-gram: the whole sequence, or nothing."""
+    if not len(h):
+        return np.zeros(0, dtype=np.uint64)
+    return mix(np.array([np.bitwise_xor.reduce(mix(h + np.arange(len(h), dtype=np.uint64))) + np.uint64(977 * len(h))], dtype=np.uint64))
+
+
+def _sets(batch: pa.RecordBatch, ngram: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row and sorted distinct n-gram hashes; a shorter text is one n-gram, a text without words has none."""
+    for at, _, block in blocks(batch.column("text"), lower=True):
+        h = block.hashes()
+        grams, first = block.ngrams(h, ngram)
+        counts = block.counts
+        for i in range(len(counts)):
+            yield at + i, np.unique(grams[first[i] : first[i + 1]]) if counts[i] >= ngram else _short(h[block.first[i] : block.first[i + 1]])
 
 
 def _identity(s: np.ndarray) -> bytes:
@@ -68,14 +91,14 @@ def _identity(s: np.ndarray) -> bytes:
     return mix(np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], dtype=np.uint64) + n).tobytes()
 
 
-def _parity(s: np.ndarray) -> bytes:
-    """A bitmap whose bits tell the parity of a set's members in each bucket; at least two bits a member.
+def _parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap (64-bit words) whose bits tell the parity of a set's members in each bucket; 0.8 bits a member at least.
 
     Two bitmaps differ in at most as many bits as the sets in members; halves may be folded by XOR.
     """
-    bits = min(BITS[1], max(BITS[0], 1 << (2 * len(s) - 1).bit_length()))
+    bits = min(BITS[1], max(BITS[0], 1 << (4 * len(s) // 5).bit_length()))
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def _fold(m: np.ndarray, words: int) -> np.ndarray:
@@ -85,20 +108,8 @@ def _fold(m: np.ndarray, words: int) -> np.ndarray:
     return m
 
 
-def _pack(s: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash."""
-    return (s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack(raw) -> np.ndarray:
-    got = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    out = np.zeros((len(got), 8), dtype=np.uint8)
-    out[:, :6] = got
-    return out.view(np.uint64).ravel()
-
-
 def _sketch(docs: DataFrame, ngram: int) -> np.ndarray:
-    """Level of each sketch counter: 0 for usual n-grams, else the logarithm of how far above usual they are."""
+    """Level of each sketch counter: four times the logarithm of its n-grams, 0 where no task saw more than usual."""
 
     def count(batches):
         total = np.zeros(SKETCH, dtype=np.int32)
@@ -106,43 +117,55 @@ def _sketch(docs: DataFrame, ngram: int) -> np.ndarray:
             for _, _, block in blocks(batch.column("text"), lower=True):
                 grams, _ = block.ngrams(block.hashes(), ngram)
                 np.add.at(total, (grams >> np.uint64(40)).astype(np.int64), 1)
-        everything = int(total.sum())
-        heavy = np.flatnonzero(total >= 2 * everything / SKETCH + 2)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(np.append(heavy, -1), pa.int32()), "n": pa.array(np.append(total[heavy], everything), pa.int64())})
+        heavy = np.flatnonzero(total >= 2 * int(total.sum()) / SKETCH + 2)
+        for k in range(0, len(heavy), 1 << 16):
+            part = heavy[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"k": pa.array(part, pa.int32()), "n": pa.array(total[part], pa.int64())})
+
+    width = SKETCH // SLICES
+
+    def pack(key, table):
+        level = np.zeros(width, dtype=np.uint8)
+        level[table.column("k").to_numpy() % width] = 1 + np.minimum(254, 4 * np.log2(table.column("n").to_numpy())).astype(np.uint8)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())})
 
     seen = docs.select("text").mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    top = seen.orderBy(F.col("k") >= 0, F.desc("n"), "k").limit(1 << 18).toPandas()  # a fixed number of counters, not of n-grams
-    usual = 2 * int(top.n[top.k < 0].sum()) / SKETCH + 8
-    top = top[(top.k >= 0) & (top.n > usual)]
+    sliced = seen.withColumn("slice", F.floor(F.col("k") / width).cast("int")).groupBy("slice").applyInArrow(pack, "slice int, level binary")
     level = np.zeros(SKETCH, dtype=np.uint8)
-    level[top.k.to_numpy()] = 1 + np.log2(top.n.to_numpy() / usual).astype(np.uint8)
+    for row in sliced.collect():  # SLICES rows at most
+        level[row.slice * width : (row.slice + 1) * width] = np.frombuffer(zlib.decompress(bytes(row.level)), dtype=np.uint8)
     return level
 
 
 def _profile(docs: DataFrame, level, ngram: int, num: int, den: int) -> DataFrame:
-    """(doc_id, k2, n, cid, gid, prefix, bound) of each document."""
+    """(doc_id, k2, n, cid, gid, m0..m3, prefix, bound) of each document; m0..m3 are bound folded to 256 bits."""
 
     def run(batches):
         order = level.value
         for batch in batches:
-            rows = {k: [] for k in ("n", "cid", "gid", "prefix", "bound")}
+            rows = {k: [] for k in ("n", "cid", "gid", "mini", "prefix", "bound")}
             for _, s in _sets(batch, ngram):
                 rank = order[(s >> np.uint64(40)).astype(np.int64)]
                 p = prefix_length(len(s), num, den)
                 prefix = s[:p] if not rank.any() else s[np.lexsort((s, rank))[:p]]
+                bits = _parity(s)
                 rows["n"].append(len(s))
                 rows["cid"].append(_identity(s))
-                rows["gid"].append(int(mix(prefix).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+                rows["gid"].append(int(mix(np.array([mix(prefix).sum(dtype=np.uint64)], dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)[0]))
+                rows["mini"].append(_fold(bits, 4))
                 rows["prefix"].append(prefix.astype(np.int64))
-                rows["bound"].append(_parity(s))
+                rows["bound"].append(bits.tobytes())
+            mini = np.array(rows.pop("mini"), dtype=np.uint64).reshape(-1, 4).astype(np.int64)
             types = {"n": pa.int32(), "cid": pa.binary(), "gid": pa.int64(), "prefix": pa.list_(pa.int64()), "bound": pa.binary()}
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k2"), *(pa.array(v, types[k]) for k, v in rows.items())], ["doc_id", "k2", *rows])
+            made = {k: pa.array(v, types[k]) for k, v in rows.items()} | {m: pa.array(mini[:, i]) for i, m in enumerate(MINI)}
+            names = ["n", "cid", "gid", *MINI, "prefix", "bound"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k2"), *(made[k] for k in names)], ["doc_id", "k2", *names])
 
-    return docs.mapInArrow(run, "doc_id long, k2 long, n int, cid binary, gid long, prefix array<long>, bound binary")
+    return docs.mapInArrow(run, "doc_id long, k2 long, n int, cid binary, gid long, m0 long, m1 long, m2 long, m3 long, prefix array<long>, bound binary")
 
 
 def _load_sets(work: Workspace, docs: DataFrame, classes: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
-    """(cid, set) of the wanted classes, from one document of each."""
+    """(cid, s) of the wanted classes, from one document of each; s holds 128 bits of each n-gram."""
     reps = work.save(wanted.join(classes.select("cid", "doc"), "cid"), "wanted")
     rows = reps.count()
     key = F.coalesce("doc_id", F.lit(-(2**63)))
@@ -151,11 +174,21 @@ def _load_sets(work: Workspace, docs: DataFrame, classes: DataFrame, wanted: Dat
 
     def run(batches):
         for batch in batches:
-            found = [(_identity(s), _pack(s)) for _, s in _sets(batch, ngram) if len(s)]
-            yield pa.RecordBatch.from_pydict({"cid": pa.array([x[0] for x in found], pa.binary()), "s": pa.array([x[1] for x in found], pa.binary())})
+            for k in range(0, batch.num_rows, 256):
+                found = [(_identity(s), np.stack([s, t], 1).tobytes()) for (_, s), (_, t) in _paired_sets(batch.slice(k, 256), ngram) if len(s)]
+                yield pa.RecordBatch.from_pydict({"cid": pa.array([x[0] for x in found], pa.binary()), "s": pa.array([x[1] for x in found], pa.binary())})
 
     sets = texts.mapInArrow(run, "cid binary, s binary")
-    return work.save(sets.join(small(reps.select("cid"), rows), "cid", "left_semi").dropDuplicates(["cid"]), "sets", "none")
+    out = work.save(sets.join(small(reps.select("cid"), rows), "cid", "left_semi").dropDuplicates(["cid"]), "sets", "none")
+    work.drop(reps)
+    return out
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many rows (two 64-bit halves, each side's first halves distinct) two sets have in common."""
+    both = np.concatenate([x, y])
+    both = both[np.argsort(both[:, 0], kind="stable")]
+    return int((both[1:] == both[:-1]).all(1).sum())
 
 
 def _verified(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
@@ -168,11 +201,9 @@ def _verified(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataF
         for batch in batches:
             keep = []
             for sa, sb in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (_unpack(v.as_buffer()) for v in (sa, sb))
-                together = np.concatenate([x, y])
-                together.sort()
-                shared = int((together[1:] == together[:-1]).sum())
-                keep.append(den * shared >= num * (len(x) + len(y) - shared))
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64).reshape(-1, 2) for v in (sa, sb))
+                common = shared(x, y)
+                keep.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = work.save(both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary"), "links")
@@ -201,9 +232,18 @@ def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a binary, b binary")
 
 
-def _with_bounds(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, na, nb and the small bitmaps a0.., b0..) that size and small bitmaps allow."""
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4)), F.lit(0)).cast("long")
+    both = F.col("na").cast("long") + F.col("nb").cast("long")
+    fits = (den * F.least("na", "nb").cast("long") >= num * F.greatest("na", "nb").cast("long")) & (den * (both - differ) >= num * (both + differ))
+    return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _surviving(pairs: DataFrame, slim: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that whole bitmaps allow; those of two short texts have been held against theirs before."""
     a, b = (slim.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("bound").alias(f"x{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b")
+    return _bounded(pairs.join(a, "a").join(b, "b"), num, den)
 
 
 def _block_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -242,9 +282,13 @@ def _block_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
             comp = flat.field("comp").to_numpy()
             names = flat.field("cid").dictionary_encode()
             cid = names.indices.to_numpy().astype(np.int64)
-            bound = flat.field("bound").cast(pa.large_binary())
-            offsets = np.frombuffer(bound.buffers()[1], dtype=np.int64)[bound.offset : bound.offset + len(bound) + 1]
-            bits = np.frombuffer(bound.buffers()[2], dtype=np.uint8) if len(bound) else np.zeros(0, np.uint8)
+            if flat.type.get_field_index("m0") >= 0:
+                bits = np.stack([flat.field(m).to_numpy() for m in MINI], 1).view(np.uint8).ravel()
+                offsets = np.arange(len(flat) + 1) * 8 * len(MINI)
+            else:
+                bound = flat.field("bound").cast(pa.large_binary())
+                offsets = np.frombuffer(bound.buffers()[1], dtype=np.int64)[bound.offset : bound.offset + len(bound) + 1]
+                bits = np.frombuffer(bound.buffers()[2], dtype=np.uint8) if len(bound) else np.zeros(0, np.uint8)
             words = np.diff(offsets) // 8
             tokens = batch.column("token").to_pylist()
             long = np.array([t is not None for t in tokens], dtype=bool)
@@ -264,9 +308,6 @@ def _block_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
                 for size in np.unique(sizes):
                     pick = np.flatnonzero(sizes == size)
                     wi, wj = int(size) >> 20, int(size) & ((1 << 20) - 1)
-                    if not wi or not wj:  # members without a bitmap: bounded later
-                        found.append(np.stack([x[pick], y[pick], i[pick], j[pick]], 1))
-                        continue
                     for k in range(0, len(pick), max(1, (1 << 19) // max(wi, wj))):
                         part = pick[k : k + max(1, (1 << 19) // max(wi, wj))]
                         p, q = (bits[offsets[e[part]][:, None] + np.arange(8 * w)].view(np.uint64) for e, w in ((i, wi), (j, wj)))
@@ -299,58 +340,74 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("k2", F.xxhash64("text"))
     level = spark.sparkContext.broadcast(_sketch(docs, ngram))
     profile = work.save(_profile(docs, level, ngram, num, den), "profile")
-    classes = work.save(
-        profile.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.first("bound").alias("bound")),
-        "classes",
-    )
+    payload = ["n", "gid", *MINI, "prefix", "bound"]
+    classes = work.save(profile.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("size"), *(F.first(c).alias(c) for c in payload)), "classes")
     slim = classes.select("cid", "n", "bound")
 
-    # groups, and their lists: those with a common prefix n-gram in one of two overlapping size bands
-    groups = classes.groupBy("n", "gid").agg(F.min("cid").alias("head"), F.count("*").alias("members"))
-    posted = classes.join(groups.select(F.col("head").alias("cid")), "cid", "left_semi").select("n", "gid", F.explode("prefix").alias("token"))
+    # groups of more than one class: their least class is the head, which posts the group's prefix
+    crowded = work.save(classes.groupBy("gid").agg(F.min("cid").alias("head"), F.count("*").alias("members")).where("members > 1"), "crowded")
+    grouped = classes.join(small(crowded, crowded.count()), "gid", "left").withColumn("many", F.col("head").isNotNull())
+    heads = grouped.where("head is null or cid = head")
+
+    # lists: groups with a common prefix n-gram in one of two overlapping size bands
+    posted = heads.select("n", "gid", "many", F.explode("prefix").alias("token"))
     often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num * (1 + 1e-9))).cast("int")
-    listed = posted.join(often, "token").withColumn("band", band).select("n", "gid", "token", F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("list"))
+    listed = posted.join(often, "token").withColumn("band", band).select("n", "gid", "many", "token", F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("list"))
     listed = work.save(listed, "listed")
-    leads = listed.groupBy("list").agg(F.min(F.struct("gid", "n")).alias("to"), F.count("*").alias("df")).where("df > 1").select("list", "to")
-    listed = work.save(listed.join(leads, "list"), "lists")
-    tied = listed.where("to.gid <> gid or to.n <> n").where(den * F.least("n", "to.n").cast("long") >= num * F.greatest("n", "to.n").cast("long")).select("n", "gid", F.col("to.n").alias("n2"), F.col("to.gid").alias("gid2")).distinct()
-    heads_of = groups.select("n", "gid", "head")
-    stars = tied.join(heads_of, ["n", "gid"]).join(heads_of.select(F.col("n").alias("n2"), F.col("gid").alias("gid2"), F.col("head").alias("head2")), ["n2", "gid2"])
-    stars = stars.select(F.least("head", "head2").alias("a"), F.greatest("head", "head2").alias("b"))
-    inside = classes.join(groups.where("members > 1"), ["n", "gid"]).where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b"))
-    stars = stars.unionByName(inside).distinct()
-    stars = _with_bounds(stars, slim)
-    links = _verified(work, docs, classes, work.save(_bounded(stars, num, den), "stars"), ngram, num, den)
+    leads = listed.groupBy("list").agg(F.min(F.struct("gid", "n")).alias("to"), F.count("*").alias("df"), F.max("many").alias("any")).where("df > 1")
+    met = work.save(listed.join(leads, "list"), "lists")
+    work.drop(listed)
+
+    # 1. stars: every group against the least one of its lists, every class against its group's head
+    tied = met.where("to.gid <> gid").where(den * F.least("n", "to.n").cast("long") >= num * F.greatest("n", "to.n").cast("long"))
+    tied = tied.select(F.least("gid", "to.gid").alias("ga"), F.greatest("gid", "to.gid").alias("gb")).distinct()
+
+    def side(c: str) -> list:
+        return [F.col("cid").alias(c), F.col("n").alias(f"n{c}"), *(F.col(m).alias(f"{c}{i}") for i, m in enumerate(MINI))]
+
+    stars = tied.join(heads.select(F.col("gid").alias("ga"), *side("a")), "ga").join(heads.select(F.col("gid").alias("gb"), *side("b")), "gb").drop("ga", "gb")
+    full = grouped.where("head is not null")
+    inside = full.where("cid = head").select("gid", *side("a")).join(full.where("cid <> head").select("gid", *side("b")), "gid").drop("gid")
+    near = work.save(_near(stars.unionByName(inside), num, den), "near")
+    links = _verified(work, docs, classes, work.save(_surviving(near, slim, num, den), "stars"), ngram, num, den)
     found = components(work, links)
 
-    # members of groups whose lists still hold more than one component
-    labelled = classes.select("cid", "n", "gid").join(found.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.xxhash64(F.coalesce("label", "cid"))).drop("label")  # names only compared within a list
+    # 2. lists that still hold more than one component; a list of groups with one member each has its lead behind it
+    labelled = classes.select("cid", "n", "gid", *MINI).join(found.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.xxhash64(F.coalesce("label", "cid"))).drop("label")  # names only compared within a list
     labelled = work.save(labelled, "labelled")
-    own = labelled.join(groups.where("members > 1").select("n", "gid"), ["n", "gid"]).withColumn("list", F.xxhash64("n", "gid"))
-    rest = listed.select("list", "token", "n", "gid").join(labelled, ["n", "gid"]).unionByName(own.withColumn("token", F.lit(None).cast("long")).select("list", "token", "n", "gid", "cid", "comp")).drop("gid")
+    left = met.where("any or (df > 2 and to.gid <> gid)").select("list", "token", "gid")
+    own = crowded.select(F.xxhash64("gid", "members").alias("list"), F.lit(None).cast("long").alias("token"), "gid", "head").where("members > 2").join(labelled, "gid").where("cid <> head").drop("gid", "head")
+    rest = left.join(labelled, "gid").drop("gid").unionByName(own)
     spread = rest.groupBy("list").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("list", "m")
     rest = work.save(rest.join(spread, "list"), "open")
-    light = rest.where(F.col("m") <= SHORT).select("list", F.struct("cid", "n", "comp", F.lit(None).cast("binary").alias("bound"), F.lit(None).cast("array<bigint>").alias("prefix")).alias("member"))
-    rest = rest.where(F.col("m") > SHORT).join(slim.drop("n"), "cid")
+    work.drop(met)
     member = F.struct("cid", "n", "comp", "bound", "prefix").alias("member")
     none = F.lit(None).cast("array<struct<cid:binary,n:int,comp:bigint,bound:binary,prefix:array<bigint>>>")
-    short, long = rest.where(F.col("m") <= BLOCK), rest.where(F.col("m") > BLOCK).join(classes.select("cid", "prefix"), "cid")
-    short = short.withColumn("prefix", F.lit(None).cast("array<bigint>"))
-    single = short.groupBy("list").agg(F.collect_list(member).alias("l")).select(F.lit(None).cast("long").alias("token"), "l", none.alias("r"))
-    # longer lists: a component of more than a block has blocks of its own, which do not meet each other
-    of = long.groupBy("list", "comp").agg(F.count("*").alias("mc"), F.first("m").alias("all")).select("list", "comp", F.when(F.col("mc") > BLOCK, F.ceil(F.col("mc") / BLOCK)).otherwise(0).cast("int").alias("cuts"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("all") / BLOCK)).cast("long").alias("pool"))
-    big = F.when(F.col("cuts") > 0, F.col("comp"))
-    part = F.when(F.col("cuts") > 0, F.pmod(F.xxhash64("cid"), F.col("cuts"))).otherwise(F.col("pool")).cast("long")
-    cut = work.save(long.join(of, ["list", "comp"]).groupBy("list", big.alias("big"), part.alias("part")).agg(F.first("token").alias("token"), F.collect_list(member).alias("members")), "blocks")
-    left = cut.select("list", "token", F.col("big").alias("b1"), F.col("part").alias("p1"), F.col("members").alias("l"))
-    right = cut.select("list", F.col("big").alias("b2"), F.col("part").alias("p2"), F.col("members").alias("r"))
-    faced = left.join(right, "list").where("(b1 is null and b2 is not null) or b1 < b2 or (b1 is null and b2 is null and p1 < p2)").select("token", "l", "r")
-    alone = cut.where("big is null").select("token", F.col("members").alias("l"), none.alias("r"))
-    paired = _block_pairs(light.groupBy("list").agg(F.collect_list("member").alias("l")).select(F.lit(None).cast("long").alias("token"), "l", none.alias("r")), num, den)
-    checked = _bounded(_with_bounds(paired, slim), num, den)
-    late = work.save(checked.unionByName(_block_pairs(single.unionByName(alone).unionByName(faced), num, den)).distinct(), "late")
-    links2 = _verified(work, docs, classes, late, ngram, num, den)
+    light = rest.where(F.col("m") <= SHORT).select("list", F.struct("cid", "n", "comp", *MINI).alias("member"))
+    light = light.groupBy("list").agg(F.collect_list("member").alias("l")).select(F.lit(None).cast("long").alias("token"), "l")
+    paired = _block_pairs(light.withColumn("r", F.lit(None).cast(light.schema["l"].dataType)), num, den)
+    late = _surviving(paired, slim, num, den)
+
+    heavy = work.save(rest.where(F.col("m") > SHORT).drop(*MINI), "heavy")
+    if heavy.limit(1).count():
+        held = work.save(heavy.groupBy("cid").agg(F.max("m").alias("most")), "held")
+        payloads = classes.select("cid", "prefix", "bound").join(small(held, held.count()), "cid")
+        payloads = work.save(payloads.withColumn("prefix", F.when(F.col("most") > BLOCK, F.col("prefix"))).drop("most"), "payloads")
+        heavy = heavy.join(payloads, "cid")
+        short, long = heavy.where(F.col("m") <= BLOCK).drop("prefix").withColumn("prefix", F.lit(None).cast("array<bigint>")), heavy.where(F.col("m") > BLOCK)
+        single = short.groupBy("list").agg(F.collect_list(member).alias("l")).select(F.lit(None).cast("long").alias("token"), "l", none.alias("r"))
+        # longer lists: a component of more than a block has blocks of its own, which do not meet each other
+        of = long.groupBy("list", "comp").agg(F.count("*").alias("mc"), F.first("m").alias("all")).select("list", "comp", F.when(F.col("mc") > BLOCK, F.ceil(F.col("mc") / BLOCK)).otherwise(0).cast("int").alias("cuts"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("all") / BLOCK)).cast("long").alias("pool"))
+        big = F.when(F.col("cuts") > 0, F.col("comp"))
+        part = F.when(F.col("cuts") > 0, F.pmod(F.xxhash64("cid"), F.col("cuts"))).otherwise(F.col("pool")).cast("long")
+        cut = work.save(long.join(of, ["list", "comp"]).groupBy("list", big.alias("big"), part.alias("part")).agg(F.first("token").alias("token"), F.collect_list(member).alias("members")), "blocks")
+        one = cut.select("list", "token", F.col("big").alias("b1"), F.col("part").alias("p1"), F.col("members").alias("l"))
+        two = cut.select("list", F.col("big").alias("b2"), F.col("part").alias("p2"), F.col("members").alias("r"))
+        faced = one.join(two, "list").where("(b1 is null and b2 is not null) or b1 < b2 or (b1 is null and b2 is null and p1 < p2)").select("token", "l", "r")
+        alone = cut.where("big is null").select("token", F.col("members").alias("l"), none.alias("r"))
+        late = late.unionByName(_block_pairs(single.unionByName(alone).unionByName(faced), num, den))
+    links2 = _verified(work, docs, classes, work.save(late.distinct(), "late"), ngram, num, den)
     found = components(work, links.unionByName(links2))
 
     named = classes.select("cid", "doc", "size").join(found.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid"))

@@ -25,6 +25,8 @@ MAX_TOXIC, MAX_CLEAN = 800, 1600
 TABLE = 1 << 18
 PREFIXES = (4, 5, 6)
 SEGMENT = 32
+#: Texts are scored in blocks of whole rows of about so many bytes; a longer text is a block of its own.
+PART_BYTES = 1 << 18
 
 
 def features(block) -> list[np.ndarray]:
@@ -251,7 +253,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         chain = None if "constant" in m else Chain(m["weights"], m["bias"], m["trans"], m["start"])
         for batch in batches:
             scores, spans = [], []
-            for _, _, block in blocks(batch.column("text")):
+            for _, _, block in blocks(batch.column("text"), limit=PART_BYTES):
                 counts = block.counts
                 if chain is None:
                     scores.append(np.full(len(counts), m["constant"]))
@@ -278,22 +280,22 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below 0.5."""
+    """The rows of docs, with all their columns, whose text scores below 0.5.
+
+    Defined cases: those of ``score``; a null text is judged as an empty one and stays null; columns of any name are carried.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = docs.schema.fields
+    texts = docs if docs.schema[text_col].dataType.simpleString() == "string" else docs.withColumn(text_col, F.col(text_col).cast("string"))
+    at = docs.columns.index(text_col)
 
     def run(batches):
         m = held.value
         chain = None if "constant" in m else Chain(m["weights"], m["bias"], m["trans"], m["start"])
         for batch in batches:
-            scores = [np.zeros(0)]
-            for _, _, block in blocks(batch.column(batch.schema.names.index("_text"))):
-                z = _logits(chain, m, block)
-                scores.append(z)
-            yield batch.drop_columns(["_text"]).filter(pa.array(np.concatenate(scores) < 0))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, schema)
+            for row, end, block in blocks(batch.column(at), limit=PART_BYTES):
+                yield batch.slice(row, end - row).filter(pa.array(_logits(chain, m, block) < 0))
+
+    return texts.mapInArrow(run, texts.schema)
 
 
 def _logits(chain, m, block) -> np.ndarray:
