@@ -35,8 +35,8 @@ from svspark.llm.store import Workspace, components, small
 from svspark.llm.words import blocks, mix
 
 #: Counters of the frequency sketch; its size is fixed, so it may be broadcast.
-SKETCH = 1 << 24
-#: The sketch comes to the driver in this many compressed slices, one byte a counter: at most 16 MB at any input size.
+SKETCH = 1 << 23
+#: The sketch comes to the driver in this many compressed slices, one byte a counter: at most 8 MB at any input size.
 SLICES = 64
 #: Members of a block of a list; a list of at most SHORT members is paired as it is, without blocks.
 BLOCK, SHORT = 256, 32
@@ -116,7 +116,7 @@ def _sketch(docs: DataFrame, ngram: int) -> np.ndarray:
         for batch in batches:
             for _, _, block in blocks(batch.column("text"), lower=True):
                 grams, _ = block.ngrams(block.hashes(), ngram)
-                np.add.at(total, (grams >> np.uint64(40)).astype(np.int64), 1)
+                np.add.at(total, (grams >> np.uint64(41)).astype(np.int64), 1)
         heavy = np.flatnonzero(total >= 2 * int(total.sum()) / SKETCH + 2)
         for k in range(0, len(heavy), 1 << 16):
             part = heavy[k : k + (1 << 16)]
@@ -145,7 +145,7 @@ def _profile(docs: DataFrame, level, ngram: int, num: int, den: int) -> DataFram
         for batch in batches:
             rows = {k: [] for k in ("n", "cid", "gid", "mini", "prefix", "bound")}
             for _, s in _sets(batch, ngram):
-                rank = order[(s >> np.uint64(40)).astype(np.int64)]
+                rank = order[(s >> np.uint64(41)).astype(np.int64)]
                 p = prefix_length(len(s), num, den)
                 prefix = s[:p] if not rank.any() else s[np.lexsort((s, rank))[:p]]
                 bits = _parity(s)

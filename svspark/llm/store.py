@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: A side of a join with at most this many rows of a few longs may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Batches to Python workers hold at most about so many bytes, unless the session has a setting of its own.
+BATCH_BYTES = 4 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,11 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of batches to Python workers: a batch of 10,000 long texts or sets would not fit beside its neighbours."""
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 class Workspace:
     """Names tables in a folder of their own below the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from svspark.llm.decontaminate import stripped
+from svspark.llm.store import bound_batches
 from svspark.llm.words import _BASES, _BYTE, blocks, mix
 
 #: The classifier is fitted on at most so many labelled toxic and clean training documents (least hashes of doc_id).
@@ -246,6 +247,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     Defined cases: null and empty texts have no words and get the calibrated score of none; null ids stay;
     repeated rows score alike; a model fitted without both labels gives a constant score; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -284,6 +286,7 @@ def keep_clean(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
 
     Defined cases: those of ``score``; a null text is judged as an empty one and stays null; columns of any name are carried.
     """
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs if docs.schema[text_col].dataType.simpleString() == "string" else docs.withColumn(text_col, F.col(text_col).cast("string"))
     at = docs.columns.index(text_col)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 1024
 
 _MASK = (1 << 64) - 1
 
@@ -134,10 +134,13 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int =
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
+    for row in range(0, len(column), BLOCK_ROWS):
+        for at, end, block in _blocks(column.slice(row, BLOCK_ROWS).cast(pa.large_string()), lower, limit):
+            yield row + at, row + end, block
+
+
+def _blocks(column: pa.Array, lower: bool, limit: int) -> Iterator[tuple[int, int, Block]]:
     n = len(column)
-    if not n:
-        return
     _, raw_offsets, raw = column.buffers()
     offsets = np.frombuffer(raw_offsets, dtype=np.int64)[column.offset : column.offset + n + 1]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
