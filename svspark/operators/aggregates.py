@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from svspark.operators.graph import _cut
+
 
 def nested_mean(rows: DataFrame, outer: list[str], inner: list[str], value: str, name: str) -> DataFrame:
     """Mean over outer of the greatest value of each (outer, inner)."""
@@ -55,10 +57,11 @@ def dense_ids(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Consecutive ids from 0 of the distinct keys in order, joined back to all rows.
 
     Keys are range-partitioned and counted; each partition numbers its own from its offset, so no task sees all keys.
+    The partitions are written first: range bounds are sampled, and counts and numbers must come from the same ones.
     """
     spark = rows.sparkSession
     distinct = rows.select(*keys).distinct()
-    parts = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
+    parts = _cut(distinct.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()))
     counts = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row for each partition
     total, starts = 0, []
     for p in sorted(counts):

@@ -12,45 +12,84 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder (a temporary one where none is set)."""
+    """Cut lineage by a checkpoint in the folder that the cluster shares; in local mode a temporary one where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="svspark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not folder:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="svspark-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(vertex, component): least vertex reachable; rounds of neighbour minima and pointer jumping until no label changes."""
-    both = _cut(edges.select(F.col(a).alias("v"), F.col(b).alias("w")).unionByName(edges.select(F.col(b).alias("v"), F.col(a).alias("w"))).distinct())
-    labels = _cut(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("l")))
+def star_components(edges: DataFrame, a: str, b: str, save=_cut, drop=None) -> DataFrame:
+    """(vertex, component): the least vertex that can be reached, of every vertex with an edge to another.
+
+    Alternates two star steps until every component is a star around its least vertex: each vertex ties its greater neighbours
+    to its least neighbour, then its lesser ones.  The number of rounds follows the logarithm of a component's diameter, and edges
+    never grow in number.  Minima are aggregated before the shuffle, so a hub is one row for each task.
+    """
+    now = save(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
     while True:
-        near = both.join(labels.select(F.col("v").alias("w"), "l"), "w").groupBy("v").agg(F.min("l").alias("m"))
-        step = labels.join(near, "v").select("v", F.least("l", "m").alias("m"), F.col("l").alias("was"))
-        hop = labels.select(F.col("v").alias("m"), F.col("l").alias("up"))
-        new = _cut(step.join(hop, "m", "left").select("v", F.least("m", F.coalesce("up", "m")).alias("l"), "was"))
-        done = not new.where("l <> was").limit(1).count()
-        labels = new.select("v", "l")
-        if done:
-            return labels.select(F.col("v").alias("vertex"), F.col("l").alias("component"))
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = now.select(F.col("b").alias("a"), F.col("a").alias("up")).join(least, "a").where("up <> m").select(F.col("up").alias("a"), F.col("m").alias("b")).distinct()
+        large = save(large)
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
+        new = save(small)
+        for old in (now, large):
+            if drop:
+                drop(old)
+        now = new
+        roles = now.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if not roles.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").limit(1).count():
+            return now.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct())
+
+
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(vertex, component): least vertex reachable, of all vertices; one whose only edge is to itself is a component."""
+    found = _cut(star_components(edges, a, b))
+    alone = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("vertex")).distinct().join(found, "vertex", "left_anti")
+    return found.unionByName(alone.select("vertex", F.col("vertex").alias("component")))
 
 
 def linkage(points: DataFrame, key: str = "id", threshold: int = 100) -> DataFrame:
     """(key, component) by single linkage of points (x, y) of one ``part`` closer than the threshold.
 
-    Thresholded Delaunay edges connect the same points as all pairs below the threshold.  Equal points count once; cells of the
-    threshold's width meet their eight neighbours only.
+    Thresholded Delaunay edges connect the same points as all pairs below the threshold.  Equal points count once.  Cells are so
+    small that the points of one are all linked; two near cells are linked if any pair of their outermost points is near:
+    for cells in different columns the greatest and least x at each y, in one column the greatest and least y at each x.  A hot
+    spot of any number of points thus meets its neighbours with at most two points for each column of a cell.
     """
+    side = threshold / math.sqrt(2) * (1 - 1e-6)
     distinct = points.groupBy("part", "x", "y").agg(F.min(key).alias("rep"))
-    cell = distinct.withColumns({"cx": F.floor(F.col("x") / threshold), "cy": F.floor(F.col("y") / threshold)})
-    step = [F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    near = cell.select("part", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("rep").alias("rep2"), "cx", "cy", F.explode(F.array(*step)).alias("s")).select("part", "x2", "y2", "rep2", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"))
-    d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
-    pairs = cell.join(near, ["part", "cx", "cy"]).where((F.col("rep") < F.col("rep2")) & (d2 < threshold * threshold)).select("rep", "rep2")
-    comps = connected_components(pairs, "rep", "rep2")
-    named = distinct.join(comps, distinct["rep"] == comps["vertex"], "left").select("part", "x", "y", F.coalesce("component", "rep").alias("component"))
-    return points.join(named, ["part", "x", "y"]).select(key, "component")
+    cell = distinct.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    at = ["part", "cx", "cy"]
+    cells = cell.groupBy(*at).agg(F.min("rep").alias("cell"))
+    steps = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0) and abs(i * j) < 4]
+
+    def witnesses(line: str, depth: str, step: list[tuple[int, int]], forward: bool) -> DataFrame:
+        """Pairs of near cells; the first shows its outermost points of each line towards the second."""
+        edge = cell.groupBy(*at, line).agg(F.min(depth).alias("low"), F.max(depth).alias("high"))
+        towards, back = ("high", "low") if forward else ("low", "high")
+        move = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in step])).alias("s")
+        one = edge.select(*at, F.col(line).alias("l1"), F.col(towards).alias("d1"), move)
+        one = one.select("part", F.col("cx").alias("ox"), F.col("cy").alias("oy"), (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "l1", "d1")
+        pairs = one.join(edge.select(*at, F.col(line).alias("l2"), F.col(back).alias("d2")), at)
+        gap = (F.col("l1") - F.col("l2")) * (F.col("l1") - F.col("l2")) + (F.col("d1") - F.col("d2")) * (F.col("d1") - F.col("d2"))
+        return pairs.where(gap < threshold * threshold).select("part", "ox", "oy", "cx", "cy").distinct()
+
+    near = witnesses("y", "x", [s for s in steps if s[0]], True)
+    near = near.unionByName(witnesses("x", "y", [s for s in steps if not s[0]], True))
+    named = near.join(cells, at).join(cells.select("part", F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("cell").alias("other")), ["part", "ox", "oy"])
+    comps = star_components(named, "cell", "other")
+    labelled = cells.join(comps, cells["cell"] == comps["vertex"], "left").select(*at, F.coalesce("component", "cell").alias("component"))
+    return points.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)}).join(labelled, at).select(key, "component")
 
 
 def set_cover(members: DataFrame, weights: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def _rc(s: str) -> str:
 
 
 _SOM = (
-    "raw as (select prediction_id % 100000000 as pid, library_id, chromosome_1, strand_1, position_1, chromosome_2, strand_2, position_2, " + _TYPE.format(c1="chromosome_1", c2="chromosome_2") + " as type, mate_score as m from e where prediction_id % 100000000 < 5000), "
+    "raw as (select prediction_id % 100000000 as pid, library_id, chromosome_1, strand_1, position_1, chromosome_2, strand_2, position_2, " + _TYPE.format(c1="chromosome_1", c2="chromosome_2") + " as type, mate_score as m from e), "
     "b as (select pid as prediction_id, chromosome_1, strand_1, position_1, chromosome_2, strand_2, position_2, type, m, m + 1 as num_reads, m % 7 as num_split, -m / 4.0 as log_likelihood, m * 10 as template_length_min, case when m % 10 = 9 then 'dgv' end as dgv_ids from "
     "(select *, row_number() over (partition by pid order by library_id, chromosome_1, strand_1, position_1, chromosome_2, strand_2, position_2, type, m) as rn from raw) where rn = 1), "
     "germ as (select prediction_id, bool_or(library = 'lib0') as g, count(distinct case when library in ('lib0', 'lib1') then 'p1' else 'p2' end) as np from brklib where num_reads > 0 group by 1), "
@@ -45,7 +45,7 @@ def _homology() -> str:
         )
 
     return (
-        "s as (select doc_id, seq as q1, " + _rc("seq") + " as q2, case when doc_id % 2 = 0 then 1 else -1 end as d1, case when doc_id % 3 = 0 then 1 else -1 end as d2, 60 as p1, cast(doc_id % 50 + 40 as int) as p2 from seqs where length(seq) >= 200), "
+        "s as (select doc_id, seq as q1, " + _rc("seq") + " as q2, case when doc_id % 2 = 0 then 1 else -1 end as d1, case when doc_id % 3 = 0 then 1 else -1 end as d2, 60 as p1, cast(doc_id % 50 + 40 as int) as p2 from seqs), "
         + run("q1", "d1", "p1", "q2", "d2", "p2", "ha") + ", " + run("q2", "d2", "p2", "q1", "d1", "p1", "hb")
         + " select doc_id, ha.h + hb.h as homology, case when least(p1 + d1 * ha.h, p2 - d2 * ha.h) < least(p1 - d1 * hb.h, p2 + d2 * hb.h) then p1 + d1 * ha.h else p1 - d1 * hb.h end as position_1, "
         "case when least(p1 + d1 * ha.h, p2 - d2 * ha.h) < least(p1 - d1 * hb.h, p2 + d2 * hb.h) then p2 - d2 * ha.h else p2 + d2 * hb.h end as position_2 from s join ha using (doc_id) join hb using (doc_id)"
@@ -59,7 +59,7 @@ ORACLE_SQL: dict[str, str] = {
     "best_row_per_key": duck("lik") + ", " + _BEST + " select cluster_id, breakpoint_id, library_id, read_id, log_likelihood, tl1, tl2 from best",
     "mate_pairing": duck("aln") + "select a.library_id, count(*) as n_pairs, cast(sum(a.position) as bigint) as sum_1, cast(sum(b.position) as bigint) as sum_2, cast(sum(case when a.chromosome = b.chromosome then 1 else 0 end) as bigint) as same from aln a join aln b on a.library_id = b.library_id and a.read_id = b.read_id and a.read_end = 0 and b.read_end = 1 group by 1",
     "both_ends_mapped": duck("aln") + "select library_id, read_id from aln group by 1, 2 having count(distinct read_end) = 2",
-    "discordant_filter": duck("aln") + ", bad as (select distinct a.library_id, a.read_id from aln a join aln b on a.library_id = b.library_id and a.read_id = b.read_id and a.read_end <> b.read_end and a.chromosome = b.chromosome where a.strand = '+' and b.strand = '-' and b.position - a.position + 1 between 0 and 199999) select library_id, read_id, read_end, align_id, chromosome, strand, position from aln anti join bad using (library_id, read_id)",
+    "discordant_filter": duck("aln").replace("aln as (", "aln as materialized (", 1) + ", plus as materialized (select library_id, read_id, read_end, chromosome, position as p from aln where strand = '+'), minus as materialized (select library_id, read_id, 1 - read_end as read_end, chromosome, position as m from aln where strand = '-'), bad as materialized (select distinct library_id, read_id from plus join minus using (library_id, read_id, read_end, chromosome) where m - p + 1 between 0 and 199999) select library_id, read_id, read_end, align_id, chromosome, strand, position from aln anti join bad using (library_id, read_id)",
     "semi_select": duck("aln") + "select read_id % 997 as cluster_id, count(*) as n from aln where read_id % 997 in (select read_id % 997 from aln where mate_score > 50) group by 1",
     "or_semi_select": duck("aln") + ", k as (select distinct library_id, position, aligned_length from aln where mate_score = 0) select library_id, count(*) as n, cast(sum(position) as bigint) as positions from (select distinct * from aln a where exists (select 1 from k where k.library_id = a.library_id and k.position = a.position) or exists (select 1 from k where k.library_id = a.library_id and k.aligned_length = a.aligned_length)) group by 1",
     "natural_join_select": duck("aln") + "select cluster_id, library_id, count(*) as n, max(position) as last from aln natural join (select distinct read_id % 997 as cluster_id, library_id, read_id from aln) group by 1, 2",
@@ -68,7 +68,7 @@ ORACLE_SQL: dict[str, str] = {
     "mate_score_mean": duck("aln") + "select cluster_id, avg(m) as mate_score from (select read_id % 997 as cluster_id, max(mate_score) as m from aln group by 1, library_id, read_id) group by 1",
     "split_vote": duck("aln") + ", " + _VOTE + " select * from vote",
     "topn_per_cluster": duck("aln") + ", " + _VOTE + " select cluster_id, pos, homology, score, rank from (select *, row_number() over (partition by cluster_id order by score desc, pos desc, homology desc) as rank from vote) where rank <= 10",
-    "mode_consensus": duck("seqs") + ", l as (select doc_id % 37 as k, p, substring(seq, cast(p as int), 1) as letter from seqs, range(1, 41) t(p) where p <= length(seq)), c as (select k, p, letter, row_number() over (partition by k, p order by count(*) desc, letter) as rn from l group by 1, 2, 3) select k, string_agg(letter, '' order by p) as consensus from c where rn = 1 group by 1",
+    "mode_consensus": duck("seqs") + ", l as (select doc_id % 37 as k, p, substring(seq, cast(p as int), 1) as letter from seqs, unnest(range(1, length(seq) + 1)) t(p)), c as (select k, p, letter, row_number() over (partition by k, p order by count(*) desc, letter) as rn from l group by 1, 2, 3) select k, string_agg(letter, '' order by p) as consensus from c where rn = 1 group by 1",
     "fragment_stats": "with h as (select l_suppkey % 4 as library_id, floor(l_quantity) as length from lineitem), s as (select library_id, avg(length) as m, stddev_samp(length) as sd from h group by 1) select library_id, round(m, 6) as fragment_mean, round(sd, 6) as fragment_stddev, cast(trunc(m - 6 * sd) as int) as fragment_min, cast(trunc(m + 6 * sd) as int) as fragment_max from s",
     "score_histogram": "with " + _SCORES + " select aligned_length, score, count(*) as freq from scores group by 1, 2",
     "expon_fit": "with " + _SCORES + ", " + _FIT + " select aligned_length, round(lam, 9) as expon_lda from fit",
@@ -94,7 +94,7 @@ ORACLE_SQL: dict[str, str] = {
     "seed_trim": duck("seqs") + f"select doc_id, 0 as read_end, substring(seq, 1, 36) as seed from seqs union all select doc_id, 1, substring({_rc('seq')}, 1, 36) from seqs",
     "break_sequence": duck("seqs") + f"select doc_id, concat(case when doc_id % 2 = 0 then substring(seq, 1, 30) else {_rc('substring(seq, 1, 30)')} end, '[', case when doc_id % 5 = 0 then '' else substring(seq, 61, 3) end, ']', case when doc_id % 3 <> 0 then substring(seq, 31, 30) else {_rc('substring(seq, 31, 30)')} end) as sequence, length(case when doc_id % 5 = 0 then '' else substring(seq, 61, 3) end) as inslen from seqs",
     "microhomology": duck("seqs") + ", " + _homology(),
-    "union_shards": duck("aln") + ", u as (select read_id, position from aln where read_id % 2 = 0 union all select read_id, position from aln where read_id % 3 = 0) select (select count(*) from u) as n_all, (select count(*) from (select distinct * from u)) as n_distinct",
+    "union_shards": duck("aln") + ", u as (select read_id, position from aln where read_id % 2 = 0 union all select read_id, position from aln where read_id % 3 = 0 or read_id % 2 <> 0) select (select count(*) from u) as n_all, (select count(*) from (select distinct * from u)) as n_distinct",
     "name_difference": duck("aln") + "select read_id from aln where strand = '+' except select read_id from aln where strand = '-'",
     "edge_symmetric_difference": duck("aln") + "select chromosome, position from (select distinct chromosome, position, strand from aln) group by 1, 2 having count(*) = 1",
     "read_stats": duck("aln") + "select 'read_count' as type, 'total' as key, count(distinct (library_id, read_id)) as value from aln union all select 'read_length', cast(aligned_length as varchar), count(*) from aln group by 2 union all select 'fragment_length', cast(mate_score + 300 as varchar), count(*) from aln group by 2",
@@ -111,7 +111,7 @@ ORACLE_SQL: dict[str, str] = {
     "tabulate_reads": duck("aln") + ", r as (select library_id, read_id, read_end, max(aligned_length) as length from aln group by 1, 2, 3), p as (select distinct library_id, read_id from aln where mate_score < 30) select r.read_id % 997 as cluster_id, r.library_id, r.read_id, r.read_end, r.length, p.read_id is null as filtered from r left join p using (library_id, read_id)",
     "event_windows": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2",
     "event_mates": "select a.user_id as name, count(*) as n, round(sum(a.value), 4) as v1, round(sum(b.value), 4) as v2 from events a join events b on a.user_id = b.user_id and a.event_type = 'view' and b.event_type = 'click' and b.ts between a.ts - interval 10 minutes and a.ts + interval 10 minutes group by 1",
-    "connected_components": duck("aln").replace("with ", "with recursive ", 1) + ", g as (select distinct read_id * 2 as a, position % 200003 * 2 + 1 as b from aln where read_id * 2 % 5 = 0), h as (select a as v, b as w from g union select b, a from g), reach as (select v, v as w from h union select reach.v, h.w from reach join h on reach.w = h.v) select v as vertex, min(w) as component from reach group by 1",
+    "connected_components": duck("aln").replace("with ", "with recursive ", 1) + ", g as (select distinct read_id * 2 as a, position % 200003 * 2 + 1 as b from aln), h as materialized (select a as v, b as w from g union select b, a from g), reach(v, l) using key (v) as (select v, least(v, min(w)) from h group by v union select h.v, min(r.l) from reach r join h on r.v = h.w join recurring.reach o on o.v = h.v where r.l < o.l group by h.v) select v as vertex, l as component from reach",
     "linkage_clusters": duck("brk").replace("with ", "with recursive ", 1) + ", " + _BRK + ", h as (select a.prediction_id as v, b.prediction_id as w from e a join e b on a.chromosome_1 = b.chromosome_1 and abs(a.position_1 - b.position_1) < 300 and abs(a.position_2 - b.position_2) < 300 and power(a.position_1 - b.position_1, 2) + power(a.position_2 - b.position_2, 2) < 90000), reach as (select prediction_id as v, prediction_id as w from e union select reach.v, h.w from reach join h on reach.w = h.v) select v as prediction_id, min(w) as component from reach group by 1",
     "predict_breaks": duck("aln") + f""", sp as (select library_id, read_id, read_end, align_id, max(chromosome) as chromosome, max(strand) as strand, max(position) as position, max(aligned_length) as aligned_length, max(mate_score) as mate_score from aln group by 1, 2, 3, 4),
 sc as (select cluster_id, round(avg(m), 6) as mate_score from (select read_id % 997 as cluster_id, max(mate_score) as m from sp group by 1, library_id, read_id) group by 1),

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from svspark import schemas
 from svspark.functions.seq import valid_strand
 
-_ROW_BITS = (1 << 33) - 1
-
 
 def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = False, null: str | None = None) -> DataFrame:
     """Positional tab-separated rows; chromosomes stay strings because the schema says so."""
@@ -32,7 +29,7 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dgv(spark: SparkSession, path: str) -> DataFrame:
-    """(id, chromosome, start, end) by position; the header row is skipped."""
+    """(id, chromosome, start, end) by position; the header row of each file is skipped."""
     p = F.split("value", "\t")
     rows = numbered_lines(spark, path).where("line > 0").select(p.alias("p"))
     return rows.select(F.col("p")[0].alias("id"), F.col("p")[1].alias("chromosome"), F.col("p")[2].cast("long").alias("start"), F.col("p")[3].cast("long").alias("end"))
@@ -87,26 +84,29 @@ def barcode_comment(name: Column, tag: Column, tag_type: Column) -> Column:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) with line numbers from 0 in file order; partitions are counted, then numbered from their offsets."""
-    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    counts = {r["p"]: r["n"] for r in lines.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row for each partition
-    base, total = [], 0
-    for p in sorted(counts):
-        base.append((int(p), total))
-        total += counts[p]
-    offsets = spark.createDataFrame(base or [(0, 0)], "_p long, _base long")
-    return lines.withColumn("_p", part).join(F.broadcast(offsets), "_p").select((F.col("_base") + F.col("_id").bitwiseAND(_ROW_BITS)).alias("line"), "value")
+    """(file, block, line, value) with line numbers from 0 within each file.
+
+    Splits are not read in file order, so lines are numbered by file and by the byte where their block begins: blocks are counted,
+    and a line's number is its block's offset and its place in the block.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(blocks.withColumn("_base", before), ["file", "block"]).select("file", "block", (F.col("_base") + F.col("_id") - F.col("_first")).alias("line"), "value")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(fragment, read_end, seq, comment, qual) from four-line records; names end in /1 or /2."""
+    """(fragment, read_end, seq, comment, qual) from four-line records; names end in /1 or /2.
+
+    A record without its four lines, or with letters and qualities of different number, is an error.
+    """
     lines = numbered_lines(spark, path)
     of = F.col("line") % 4
-    records = lines.groupBy(F.floor(F.col("line") / 4).alias("r")).agg(*[F.max(F.when(of == i, F.col("value"))).alias(f"l{i}") for i in range(4)])
+    records = lines.groupBy("file", F.floor(F.col("line") / 4).alias("r")).agg(*[F.max(F.when(of == i, F.col("value"))).alias(f"l{i}") for i in range(4)])
     name = F.regexp_extract("l0", r"^@(.*)/([12])\s*$", 1)
     end = F.regexp_extract("l0", r"^@(.*)/([12])\s*$", 2)
-    checked = F.when(end != "", end.cast("int") - 1).otherwise(F.raise_error(F.concat(F.lit("bad read name "), F.col("l0"))))
+    whole = (end != "") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3"))
+    checked = F.when(whole, end.cast("int") - 1).otherwise(F.raise_error(F.concat(F.lit("bad read record "), F.coalesce("l0", F.lit("")))))
     return records.select(name.alias("fragment"), checked.alias("read_end"), F.col("l1").alias("seq"), F.substring("l2", 2, 1 << 30).alias("comment"), F.col("l3").alias("qual"))
 
 
@@ -119,17 +119,20 @@ def write_fastq(reads: DataFrame, path: str, compression: str = "gzip", max_reco
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Tiles (chromosome, start, seq) of one line each, start 1-based; the id is the header's first word.
 
-    Headers, one for each sequence, are few and known to the driver; lines find theirs by number.
+    A line's header is the last one of its block before it, else the last one of an earlier block of the file; lengths are
+    summed within blocks and carried from block to block, so a task holds a block and not a chromosome.
     """
-    lines = numbered_lines(spark, path)
-    heads = lines.where(F.col("value").startswith(">")).select(F.col("line").alias("head"), F.regexp_extract("value", r"^>(\S+)", 1).alias("chromosome"))
-    found = sorted((r["head"], r["chromosome"]) for r in heads.collect())
-    table = spark.createDataFrame([(h, found[i + 1][0] if i + 1 < len(found) else 1 << 62, c) for i, (h, c) in enumerate(found)] or [(0, 0, "")], "head long, until long, chromosome string")
-    body = lines.where(~F.col("value").startswith(">")).join(F.broadcast(table), (F.col("line") > F.col("head")) & (F.col("line") < F.col("until")))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chromosome").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return body.select("chromosome", (F.coalesce(F.sum(F.length("value")).over(w), F.lit(0)) + 1).alias("start"), F.col("value").alias("seq"))
+    lines = numbered_lines(spark, path).withColumn("head", F.when(F.col("value").startswith(">"), F.struct("line", F.regexp_extract("value", r"^>(\S+)", 1).alias("name"))))
+    in_file, in_block = (Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file", "block").orderBy("line"))
+    carried = lines.groupBy("file", "block").agg(F.max("head").alias("_last")).select("file", "block", F.last("_last", ignorenulls=True).over(in_file).alias("_carry"))
+    own = lines.withColumn("_own", F.last("head", ignorenulls=True).over(in_block)).where("head is null")
+    body = own.join(carried, ["file", "block"]).select("file", "block", "line", "value", F.coalesce("_own", "_carry").alias("head"))
+    body = body.withColumn("head", F.when(F.col("head").isNotNull(), F.col("head")).otherwise(F.raise_error(F.lit("a sequence without a header"))))
+    far = Window.partitionBy("file", "head.line").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = body.groupBy("file", "head", "block").agg(F.sum(F.length("value")).alias("_n")).select("file", "head", "block", F.coalesce(F.sum("_n").over(far), F.lit(0)).alias("_before"))
+    near = Window.partitionBy("file", "block", "head.line").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    placed = body.withColumn("_within", F.coalesce(F.sum(F.length("value")).over(near), F.lit(0))).join(before, ["file", "head", "block"])
+    return placed.select(F.col("head.name").alias("chromosome"), (F.col("_before") + F.col("_within") + 1).alias("start"), F.col("value").alias("seq"))
 
 
 def fetch(tiles: DataFrame, ranges: DataFrame, width: int, default: str = "N") -> DataFrame:
@@ -195,5 +198,3 @@ def write_stats(stats: DataFrame, path: str) -> None:
     """(type, key, value) with a header."""
     write_tsv(stats.select("type", "key", "value"), path, header=True)
 
-
-TABLES = {k.lower(): v for k, v in vars(schemas).items() if k.isupper()}
