@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from svspark.operators.graph import _cut
+from svspark.operators.joins import both_ways
 
 
 def nested_mean(rows: DataFrame, outer: list[str], inner: list[str], value: str, name: str) -> DataFrame:
@@ -38,19 +39,21 @@ def top_n(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> Data
 def nearest_flagged(ends: DataFrame, flag: str, key: str) -> DataFrame:
     """(key, distance): least distance of any of a key's breakends to a flagged one on its chromosome and strand.
 
-    Frames are ranges, so ties in position see each other; null if there is none.
+    Ties in position see each other; null if there is none.  Positions are binned, see ``both_ways``.
     """
-    w = Window.partitionBy("chromosome", "strand").orderBy("position")
     at = F.when(F.col(flag), F.col("position"))
-    left = F.max(at).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    right = F.min(at).over(w.rangeBetween(0, Window.unboundedFollowing))
-    return ends.select(key, F.least(F.col("position") - left, right - F.col("position")).alias("d")).groupBy(key).agg(F.min("d").alias("distance"))
-
-
-def segments(ends: DataFrame) -> DataFrame:
-    """(chromosome, start, end, length) between neighbouring distinct positions."""
-    w = Window.partitionBy("chromosome").orderBy("position")
-    return ends.select("chromosome", "position").distinct().select("chromosome", F.col("position").alias("start"), F.lead("position").over(w).alias("end")).where("end is not null").withColumn("length", F.col("end") - F.col("start"))
+    near = both_ways(ends.select(key, flag, "chromosome", "strand", "position"), ["chromosome", "strand"], "position", at, -at)
+    return near.select(key, F.least(F.col("position") - F.col("l"), -F.col("r") - F.col("position")).alias("d")).groupBy(key).agg(F.min("d").alias("distance"))
+
+
+def segments(ends: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """(chromosome, start, end, length) between neighbouring distinct positions; the last one of a bin meets the first of the next."""
+    places = ends.select("chromosome", "position").distinct().withColumn("_bin", F.floor(F.col("position") / width))
+    firsts = places.groupBy("chromosome", "_bin").agg(F.min("position").alias("_first"))
+    firsts = firsts.select("chromosome", "_bin", F.lead("_first").over(Window.partitionBy("chromosome").orderBy("_bin")).alias("_next"))
+    nearest = F.lead("position").over(Window.partitionBy("chromosome", "_bin").orderBy("position"))
+    found = places.select("chromosome", "_bin", F.col("position").alias("start"), nearest.alias("_lead")).join(firsts, ["chromosome", "_bin"])
+    return found.select("chromosome", "start", F.coalesce("_lead", "_next").alias("end")).where("end is not null").withColumn("length", F.col("end") - F.col("start"))
 
 
 def dense_ids(rows: DataFrame, keys: list[str], name: str) -> DataFrame:

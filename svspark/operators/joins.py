@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,25 @@ def tolerance_join(breaks: DataFrame, known: DataFrame, tolerance: int = 500) ->
     return pairs.where(ok).select("prediction_id", "id")
 
 
+def both_ways(rows: DataFrame, keys: list[str], at: str, left: Column, right: Column, width: int = 1_000_000) -> DataFrame:
+    """``rows`` with ``l``, the greatest ``left`` at places up to its own, and ``r``, the greatest ``right`` at places from its own on.
+
+    Places are cut into bins of ``width``: a task holds a bin of a key and not the whole key, and bins hand their greatest
+    values on.  Frames are ranges, so ties see each other; both frames grow, none is begun anew for each row.
+    """
+    binned = rows.withColumns({"_bin": F.floor(F.col(at) / width), "_l": left, "_r": right})
+    own = Window.partitionBy(*keys, "_bin")
+    over = Window.partitionBy(*keys)
+    tops = binned.groupBy(*keys, "_bin").agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    before = F.max("_l").over(over.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.max("_r").over(over.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select(*keys, "_bin", before.alias("_before"), after.alias("_after"))
+    up = F.max("_l").over(own.orderBy(at).rangeBetween(Window.unboundedPreceding, 0))
+    down = F.max("_r").over(own.orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, 0))
+    near = binned.withColumns({"_up": up, "_down": down}).join(tops, [*keys, "_bin"])
+    return near.withColumns({"l": F.greatest("_up", "_before"), "r": F.greatest("_down", "_after")}).drop("_bin", "_l", "_r", "_up", "_down", "_before", "_after")
+
+
 def nearest_feature(points: DataFrame, features: DataFrame, key: str = "point_id") -> DataFrame:
     """(key, feature_id, distance): the nearest feature on the point's chromosome, 0 inside; ties to the lesser id.
 
@@ -92,8 +111,7 @@ def nearest_feature(points: DataFrame, features: DataFrame, key: str = "point_id
     """
     p = points.select("chromosome", F.col("position").alias("at"), F.col(key).alias("pid"), F.lit(1).alias("kind"), F.lit(None).cast("struct<e:bigint,i:bigint>").alias("left"), F.lit(None).cast("struct<s:bigint,i:bigint>").alias("right"))
     f = features.select("chromosome", F.col("start").alias("at"), F.lit(None).cast("long").alias("pid"), F.lit(0).alias("kind"), F.struct(F.col("end").alias("e"), (-F.col("feature_id")).alias("i")).alias("left"), F.struct((-F.col("start")).alias("s"), (-F.col("feature_id")).alias("i")).alias("right"))
-    w = Window.partitionBy("chromosome").orderBy("at")
-    both = p.unionByName(f).select("chromosome", "at", "pid", "kind", F.max("left").over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("l"), F.max("right").over(w.rangeBetween(0, Window.unboundedFollowing)).alias("r"))
+    both = both_ways(p.unionByName(f), ["chromosome"], "at", F.col("left"), F.col("right"))
     dl, dr = F.greatest(F.lit(0), F.col("at") - F.col("l.e")), -F.col("r.s") - F.col("at")
     il, ir = -F.col("l.i"), -F.col("r.i")
     left = F.col("l").isNotNull() & (F.col("r").isNull() | (dl < dr) | ((dl == dr) & (il <= ir)))
