@@ -132,13 +132,35 @@ def test_repeats_keep_first_leaves_one_copy_and_other_text(spark):
     assert got == {1: (a + "\nown words", "en"), 2: (b + "\n\n  tail", "en"), 3: ("lead ", "en"), 4: ("", "en")}
 
 
-def test_index_matches_earlier_batches_and_compacts(spark):
-    index = repeats.FingerprintIndex(spark, fan_in=2)
-    for batch in ([1, 2, 3], [3, 4], [5, 5], [6]):
-        index.add(spark.createDataFrame([(x,) for x in batch], "a long"))
-    assert len(index.files) <= 2
-    assert {r.a for r in index.repeated().collect()} == {3, 5}
-    assert {r.a for r in index.match(spark.createDataFrame([(4,), (9,)], "a long")).collect()} == {4}
+def test_hot_classes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 5)
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(i, f"own{i} {passage[: 90 + i]} more{i % 3} {passage}") for i in range(40)] + [(7, f"own7 {passage}"), (None, passage), (None, passage)]
+    for batches in (1, 4):
+        got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=12, batches=batches)
+        assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()), key=repr) == brute_repeats(rows, 12)
+
+
+def test_index_is_kept_and_later_batches_meet_history(spark, tmp_path):
+    rng = random.Random(4)
+    lines = [" ".join(f"{c}{i}" for i in range(14)) for c in "abcdefgh"]
+    rows = [(i, " ".join(rng.choice(lines) if rng.random() < 0.4 else f"own{i}x{k} only{i}" for k in range(5))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.text for r in repeats.remove_repeats(df, window=10, keep_first=True, batches=1).collect()}
+    path, got = str(tmp_path / "index"), {}
+    for k in range(4):  # every call opens the index anew; doc_ids rise, so the first occurrence is the same one
+        index = repeats.FingerprintIndex.open(spark, path, buckets=3, fan_in=2)
+        assert index.batches == 2 * k and len(index.runs) <= 2
+        part = df.where(f"doc_id >= {15 * k} and doc_id < {15 * k + 15}")
+        out = repeats.remove_repeats(part, window=10, keep_first=True, batches=2, index=index, history=df.where(f"doc_id < {15 * k}"))
+        got |= {r.doc_id: r.text for r in out.collect()}
+    assert got == whole
+    last = repeats.FingerprintIndex.open(spark, path)
+    plan = last.read(last.runs[0]).join(last.read(last.runs[-1]).select("a"), "a", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan  # runs are joined bucket by bucket
+    last.close()
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(df, window=10, index=repeats.FingerprintIndex.open(spark, path))
 
 
 def test_top_k_equals_brute_force(spark):
