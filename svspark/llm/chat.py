@@ -35,8 +35,9 @@ def _role(role: Column) -> Column:
 
 
 def _role_back(role: Column) -> Column:
-    plain = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    """Pairs of backslashes are found from the left, so no stand-in character is needed."""
+    parts = F.split(unescape(role), r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
