@@ -176,6 +176,41 @@ def test_top_k_equals_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def brute_top(rows, k=5):
+    """Exact answers in Python's integers of (vec_id, vector) rows."""
+    scaled = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, v in scaled:
+        if q is not None and q % 50 == 0:
+            all_of = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), math.inf if i is None else i) for i, w in scaled if i != q and len(w) == len(v))
+            out += [(q, r, None if i == math.inf else i, -s) for r, (s, i) in enumerate(all_of[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def test_top_k_of_large_components_is_exact(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 9e6]), (2, [1e6, -1.0]), (50, [2e7, 5.0]), (3, [2.5, 2.5]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, None), (100, [1.0]), (7, [2.0]), (None, [0.5, 0.25])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("dim", F.lit("clash")))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_top(rows)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_top_k_stops_early_on_clusters_only(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ANNULUS", 64)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(24, 16))
+    shares = {}
+    for name, x in (("clusters", centres[np.arange(3000) % 24] + 0.05 * rng.normal(size=(3000, 16))), ("random", rng.normal(size=(3000, 16)))):
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        stats = {}
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), stats=stats)
+        assert sorted(map(tuple, got.collect()), key=repr) == brute_top(rows)
+        shares[name] = stats["visits"] / stats["possible"]
+        print("top_k", name, stats)
+    assert shares["clusters"] < 0.25
+
+
 def test_chat_folds_events(spark):
     log = [(1, 0, 0, "start", "user", ""), (1, 1, 0, "delta", "user", "hel"), (1, 2, 0, "delta", "user", "lo"), (1, 3, 1, "start", "assistant", ""), (1, 4, 1, "delta", "assistant", "bad"), (1, 5, 1, "regenerate", "assistant", ""), (1, 6, 1, "delta", "assistant", "good</s>")]
     log += [(1, 7, 0, "edit", "user", "hi"), (1, 8, 2, "start", "user", "bye"), (1, 9, 2, "delete", "user", None), (1, 10, 0, "unknown", None, "x"), (None, 0, 0, "start", None, None)]
