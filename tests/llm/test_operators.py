@@ -374,6 +374,39 @@ def test_extraction_query_equals_the_article_element(spark):
     assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_extraction_scan_equals_the_brute_force_maximum():
+    rng = random.Random(6)
+    for _ in range(300):
+        scores = [rng.choice([-3.0, -1.0, -0.5, 0.0, 1.0, 2.0]) for _ in range(rng.randrange(0, 14))]
+        a, b = extract.best_run(scores)
+        sums = [sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1)]
+        assert sum(scores[a:b]) == max([0.0, *sums])
+
+
+def test_no_class_name_empties_a_page():
+    article = "<h1>A title here</h1><p>It was a long day, and they walked home in the rain. Nobody spoke.</p><p>Later they did.</p>"
+    want = "A title here\nIt was a long day, and they walked home in the rain. Nobody spoke.\nLater they did."
+    shell = "<html><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>{}<footer>c me</footer></body>"
+    for wrap in ('<article class="comment-free">{}</article>', '<div class="social-science">{}</div>', '<div id="search-engines">{}</div>', "<main>{}</main>", "{}"):
+        assert extract.extract(shell.format(wrap.format(article)), extract.default_model()) == want
+    for name in "trending teaser outbrain toc disclaimer paywall gdpr most-read unheard-of".split():
+        part = f"<div class={name}><ul><li><a href=x>One more story</a><li><a href=y>Other story</a></ul></div>"
+        assert extract.extract(shell.format(f"<article>{article}{part}</article>{part}"), extract.default_model()) == want
+    for name in "teaser outbrain toc disclaimer paywall gdpr".split():
+        assert extract.extract(shell.format(f"<article>{article}</article><div class={name}><p>Read this now, it is good.</p></div>"), extract.default_model()) == want
+
+
+def test_extraction_of_held_out_labelled_pages():
+    """Words of generated pages that training has not seen, with other class names: F1 of kept words."""
+    right = kept = real = 0
+    for page in extract.labelled_pages(200, seed="held out"):
+        got = Counter(extract.extract("".join(p for p, _ in page), extract.default_model()).split())
+        want = Counter(re.sub("<[^>]*>", " ", " ".join(p for p, good in page if good)).split())
+        right, kept, real = right + sum((got & want).values()), kept + sum(got.values()), real + sum(want.values())
+    print("extraction: precision", right / kept, "recall", right / real)
+    assert 2 * right / (kept + real) >= 0.97
+
+
 def test_packing(docs):
     capacities = (16, 64, 256)
     got = packing.best_fit(docs, capacities=capacities, shard=20).collect()
