@@ -12,17 +12,20 @@ products over short segments, a scan over segments, then the segments again.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from svspark.llm.decontaminate import stripped
 from svspark.llm.store import bound_batches
-from svspark.llm.words import _BASES, _BYTE, blocks, mix
+from svspark.llm.words import _BASES, _BYTE, _LOWER, Block, blocks, mix
 
 #: The classifier is fitted on at most so many labelled toxic and clean training documents (least hashes of doc_id).
 MAX_TOXIC, MAX_CLEAN = 800, 1600
+#: And on at most so many bytes of their texts.
+MAX_BYTES = 32 << 20
 TABLE = 1 << 18
 PREFIXES = (4, 5, 6)
 SEGMENT = 32
@@ -30,9 +33,28 @@ SEGMENT = 32
 PART_BYTES = 1 << 18
 
 
+_OUTER = np.zeros(256, dtype=bool)
+_OUTER[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
+
+def bare_words(block: Block) -> Block:
+    """The same words in lower case without ASCII signs around them; a word of signs alone stays."""
+    out = copy.copy(block)
+    out.data = _LOWER[block.data]
+    if not len(block.starts):
+        return out
+    plain = np.concatenate([[0], np.cumsum(~_OUTER[out.data])])
+    some = plain[block.ends] > plain[block.starts]
+    following = np.flatnonzero(~_OUTER[out.data])  # every place that is not a sign
+    first = following[np.minimum(np.searchsorted(following, block.starts), len(following) - 1)] if len(following) else block.starts
+    last = following[np.maximum(np.searchsorted(following, block.ends) - 1, 0)] + 1 if len(following) else block.ends
+    out.starts, out.ends = np.where(some, first, block.starts), np.where(some, last, block.ends)
+    return out
+
+
 def features(block) -> list[np.ndarray]:
     """For each kind of feature, the table slot of each word."""
-    bare = stripped(block)
+    bare = bare_words(block)
     whole = bare.hashes()
     out = [whole]
     lengths = bare.ends - bare.starts
@@ -175,8 +197,8 @@ def _in_parts(chain: Chain, slots, counts, limit: int = 100_000):
     return np.concatenate(out), pairs, begin
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 16) -> dict:
-    """Fit the chain and the calibration; plain arrays of a fixed size."""
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 16, prior: float | None = None) -> dict:
+    """Fit the chain and the calibration; plain arrays of a fixed size.  ``prior`` are the odds of toxic among all labelled documents, where the sample has others."""
     parts = [(features(b), b.counts) for _, _, b in blocks(pa.array(texts, pa.string()))]
     if not parts or not toxic.any() or toxic.all():
         return {"constant": float(bool(len(toxic)) and bool(toxic.all()))}
@@ -211,6 +233,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 16) -> dict:
         q = 1 / (1 + np.exp(-np.clip(x1 @ a, -30, 30)))
         h = x1.T @ (x1 * (q * (1 - q))[:, None]) + np.diag([0.01, 0.1, 0.1])
         a = a + np.linalg.solve(h, x1.T @ (toxic - q) - np.array([0.01, 0.1, 0.1]) * a)
+    if prior:
+        a[0] += np.log(prior) - np.log(toxic.sum() / (~toxic).sum())
     return {"weights": [w.astype(np.float32) for w in chain.weights], "bias": float(chain.bias), "trans": chain.trans, "start": chain.start, "calibration": a}
 
 
@@ -227,17 +251,23 @@ def _summary(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> dict:
-    """Train on a bounded sample of the labelled documents whose crc32(id as text) mod 5 is not 0."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> dict:
+    """Train on a bounded sample of the labelled documents whose crc32(id as text) mod 5 is not 0.
+
+    Of rows with one id that with the least hash of its text counts; documents are taken in the order of the hash of their id, whole,
+    up to ``max_bytes`` of text in all.  Scores are corrected to the odds of the labels among all labelled documents.
+    """
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     ids = ids.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     rank = [F.xxhash64("doc_id"), "doc_id"]
+    many = {r.y: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = ids.where("y = 1").orderBy(*rank).limit(max_toxic).unionByName(ids.where("y = 0").orderBy(*rank).limit(max_clean))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()  # at most max_toxic + max_clean rows
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    so_far = Window.orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)  # over at most max_toxic + max_clean rows
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(so_far)).where(F.col("bytes") <= max_bytes).select("doc_id", "y", "text").collect()
     rows.sort(key=lambda r: r.doc_id)
-    texts_of = [r.text for r in rows]
-    return train(texts_of, np.array([r.y == 1 for r in rows], dtype=bool))
+    return train([r.text for r in rows], np.array([r.y == 1 for r in rows], dtype=bool), prior=many[1] / many[0] if many.get(0) and many.get(1) else None)
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -351,6 +351,30 @@ def test_toxicity_learns_held_out_documents(spark):
     assert {r.score for r in toxicity.score(df, constant).collect()} == {0.0}
 
 
+def test_toxicity_of_repeated_ids_long_texts_and_signs(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split())
+    rows, labels = [], []
+    for i in range(240):
+        bad = i % 4 == 0
+        text = " ".join(word() for _ in range(30)) + (f" vilewort!! {word()} grimslur" if bad else "") + " " + " ".join(word() for _ in range(10))
+        rows.append((i, text))
+        labels.append((i, 0, int(bad)))
+    rows += [(3, rows[8][1]), (3, rows[3][1]), (None, "x vilewort%%% grimslur y"), (900, "kappa " * 60_000 + "vilewort grimslur"), (901, "*** &&& ??"), (902, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("clash"), "_text": F.lit(1)})
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    models = [toxicity.fit(d, known) for d in (docs, docs.orderBy(F.rand(3)).repartition(5))]
+    assert all((a == b).all() for a, b in zip(models[0]["weights"], models[1]["weights"], strict=True))
+    found = toxicity.score(docs, models[0]).collect()
+    assert {r.doc_id: r.predicted for r in found if r.doc_id in (None, 900, 901, 902)} == {None: 1, 900: 1, 901: 0, 902: 0}
+    spans = {dict((r for r in rows if r[0] == 900))[900][s["begin"] : s["end"]] for r in found if r.doc_id == 900 for s in r.spans}
+    assert spans == {"vilewort", "grimslur"}
+    kept = toxicity.keep_clean(docs, models[0])
+    assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in found)
+    with_bound = toxicity.fit(docs, known, max_bytes=4000)
+    assert with_bound.keys() == models[0].keys() or "constant" in with_bound
+
+
 def test_extraction(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class='cookie-notice'>We use cookies on this site today ok</div><header><h1>Site name here</h1></header>"
