@@ -325,10 +325,10 @@ def _block_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: (doc_id, k2, n_shingles, component_id, class_size), k2 a hash of the text.
+    """One row per document: (doc_id, k2, n_shingles, component_id, class_size, is_first), k2 a hash of the text.
 
     Two documents link when den * |A & B| >= num * |A | B| for their sets of distinct
-    word n-grams (A-Z lower-cased); component_id is the least doc_id reachable by links.
+    word n-grams (A-Z lower-cased); component_id is the least doc_id reachable by links, is_first marks its least row (by doc_id, nulls last, then k2; repeated rows are all marked).
 
     Defined cases: a null or wordless text has an empty set, links with nothing
     and is its own component; fewer words than ``ngram`` make one shingle; repeated rows
@@ -341,7 +341,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     level = spark.sparkContext.broadcast(_sketch(docs, ngram))
     profile = work.save(_profile(docs, level, ngram, num, den), "profile")
     payload = ["n", "gid", *MINI, "prefix", "bound"]
-    classes = work.save(profile.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("size"), *(F.first(c).alias(c) for c in payload)), "classes")
+    classes = work.save(profile.where("n > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k2")).alias("lead"), F.count("*").alias("size"), *(F.first(c).alias(c) for c in payload)), "classes").withColumn("doc", F.col("lead.doc_id"))
     slim = classes.select("cid", "n", "bound")
 
     # groups of more than one class: their least class is the head, which posts the group's prefix
@@ -410,8 +410,17 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links2 = _verified(work, docs, classes, work.save(late.distinct(), "late"), ngram, num, den)
     found = components(work, links.unionByName(links2))
 
-    named = classes.select("cid", "doc", "size").join(found.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid"))
-    least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    named = named.join(least, "comp").select("cid", "component_id", F.col("size").alias("class_size"))
+    named = classes.select("cid", "lead", "size").join(found.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid"))
+    least = named.groupBy("comp").agg(F.min("lead").alias("first"))
+    named = named.join(least, "comp").select("cid", "first", F.col("size").alias("class_size"))
     out = profile.select("doc_id", "k2", "n", "cid").join(named, "cid", "left")
-    return out.select("doc_id", "k2", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    linked = F.col("n") > 0
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k2") == F.col("first.k2"))
+    return out.select(
+        "doc_id",
+        "k2",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(linked, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        F.when(linked, is_first).otherwise(True).alias("is_first"),
+    )

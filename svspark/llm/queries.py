@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from svspark.llm import pipeline
 from svspark.llm.oracles import ORACLE_SQL
 
 
@@ -23,7 +23,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from svspark.llm.jaccard import ngram_jaccard
 
-    return ngram_jaccard(_table(spark, sf_dir, "documents"), ngram=3, num=90, den=100).drop("k2")
+    return ngram_jaccard(_table(spark, sf_dir, "documents"), ngram=3, num=90, den=100).drop("k2", "is_first")
 
 
 def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
     "op6_remove_repeats": op6_remove_repeats,
 }
 

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from svspark.operators.graph import star_components
+
 #: A side of a join with at most this many rows of a few longs may be broadcast.
 BROADCAST_ROWS = 200_000
 #: Batches to Python workers hold at most about so many bytes, unless the session has a setting of its own.
@@ -21,15 +23,25 @@ _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; in local mode, as in tests, a temporary one where that is unset."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="svspark-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not among ``columns``, whatever the case of their letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound the bytes of batches to Python workers: a batch of 10,000 long texts or sets would not fit beside its neighbours."""
     if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
@@ -71,23 +83,9 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def components(work: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge table: (v, label), label the least vertex of v's component.
+    """Connected components of an edge table: (v, label), label the least vertex of v's component; vertices without an edge are not returned.
 
-    Rounds of neighbour minima and pointer jumping; each round is a written table and
-    the driver sees one count a round.  Vertices without an edge are not returned.
+    Each round is a written table, the number of rounds follows the logarithm of the diameter, and the driver sees one count a round.
     """
-    both = edges.select(F.col(a).alias("v"), F.col(b).alias("w")).unionByName(edges.select(F.col(b).alias("v"), F.col(a).alias("w")))
-    both = work.save(both.where("v <> w").distinct(), "edges")
-    labels = work.save(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("v").alias("w"), F.col("label").alias("l")), "w").groupBy("v").agg(F.min("l").alias("m"))
-        step = labels.join(near, "v").select("v", F.least("label", "m").alias("l1"), F.col("label").alias("was"))
-        jump = step.join(labels.select(F.col("v").alias("l1"), F.col("label").alias("l2")), "l1", "left")
-        new = work.save(jump.select("v", F.least("l1", F.coalesce("l2", "l1")).alias("label"), "was"), "labels")
-        changed = new.where("label <> was").limit(1).count()
-        work.drop(labels)
-        labels = new.select("v", "label")
-        labels._svspark_path = new._svspark_path
-        if not changed:
-            work.drop(both)
-            return labels
+    found = star_components(edges, a, b, save=lambda df: work.save(df, "edges"), drop=work.drop)
+    return work.save(found.select(F.col("vertex").alias("v"), F.col("component").alias("label")), "labels")

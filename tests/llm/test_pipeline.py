@@ -65,3 +65,22 @@ def test_stages_equal_brute_force(spark):
     leaks = {r.doc_id for r in rows["substring_dedup"] if any(i in " ".join((r.text or "").split()) for i in items)}
     assert [r.doc_id for r in rows["decontamination"]] == [r.doc_id for r in rows["substring_dedup"] if r.doc_id not in leaks]
     assert sum(r.n_tokens for r in rows["packing"]) == sum(len((r.text or "").encode().split()) for r in rows["decontamination"])
+
+
+def test_stages_take_clashing_columns_null_ids_and_empty_tables(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, text, 1), (None, text + " more", 2), (None, text, 3), (5, "other words here " * 20, 4), (5, "other words here " * 20, 5), (6, None, 6), (6, None, 7), (7, "", 8)]
+    names = "_text _id _gone _k2 k2 _key _gone_id score n_words spans".split()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({n: F.lit("clash") for n in names})
+    work = Workspace(spark, "t")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = work.save(stage(spark, docs, SF), name)
+        kept[name] = docs
+        assert name == "packing" or docs.columns == columns
+    assert sorted(((r.doc_id, (r.text or "")[:5]) for r in kept["ngram_jaccard"].collect()), key=repr) == sorted([(None, "word0"), (5, "other"), (6, ""), (7, "")], key=repr)
+    empty = kept["toxicity"].limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = work.save(stage(spark, empty, SF), name)
+        assert empty.count() == 0
