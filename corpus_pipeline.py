@@ -1,87 +1,8 @@
-"""A corpus from raw documents to packed sequences.
+"""A corpus from raw documents to packed sequences: toxicity, n-gram Jaccard join, substring dedup, benchmark decontamination, best-fit packing.
 
-``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
-writes as Parquet in the shared folder and reads again as the next one's documents.  All but the last
-return the columns of documents.  All stages accept nulls in any column, empty texts and tables, repeated rows and
-extra columns; each operator's docstring says what such rows get.
+``STAGES`` lists (name, function), each function takes (spark, docs, sf_dir); ``run(spark, sf_dir)`` applies them to ``documents``. The stages are in ``svspark.llm.pipeline``.
 """
 
-from __future__ import annotations
+from svspark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from svspark.llm import toxicity
-from svspark.llm.decontaminate import decontaminate
-from svspark.llm.jaccard import ngram_jaccard
-from svspark.llm.packing import best_fit
-from svspark.llm.repeats import remove_repeats
-from svspark.llm.store import Workspace, small
-
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of docs whose id and text are not among rejected (doc_id, k2)."""
-    marked = docs.withColumn("_k2", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = small(rejected.select(F.col("doc_id").alias("_id"), F.col("k2").alias("_gone")), rejected.count())
-    return marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k2") == F.col("_gone")), "left_anti").drop("_k2")
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.keep_clean(docs, model)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents tied by links of 0.8 and more on five-word shingles, the one with the least doc_id; of equal rows one."""
-    work = Workspace(spark, "copies")
-    found = work.save(ngram_jaccard(docs, ngram=5, num=80, den=100), "components")
-    kept = _without(docs, work.save(found.where("not (doc_id <=> component_id)").select("doc_id", "k2").distinct(), "rejected"))
-    repeated = work.save(found.where("doc_id <=> component_id").groupBy("doc_id", "k2").count().where("count > 1").select("doc_id", "k2"), "repeated")
-    if not repeated.count():
-        return kept
-    once = _without(kept, repeated)
-    marked = kept.withColumn("_k2", F.xxhash64(F.coalesce("text", F.lit(""))))
-    again = marked.join(repeated.select(F.col("doc_id").alias("_id"), F.col("k2").alias("_gone")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k2") == F.col("_gone")), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "_k2"]).drop("_k2"))
-
-
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 words and more that an earlier document or place holds."""
-    carried = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = remove_repeats(docs, window=50, keep_first=True, original=True, carry=carried)
-    out = kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
-    return out.select(*docs.columns)
-
-
-def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    work = Workspace(spark, "benchmark")
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, work.save(found.where("contaminated").select("doc_id", "k2").distinct(), "rejected"))
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins of several capacities."""
-    return best_fit(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("ngram_jaccard", drop_near_copies),
-    ("substring_dedup", cut_repeats),
-    ("decontamination", drop_benchmark),
-    ("packing", pack_sequences),
-]
-
-#: SQL cannot express these stages; tests hold them against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; the last stage's rows."""
-    work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = work.save(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
