@@ -68,6 +68,28 @@ def rearrangement_type(kind: Column, size: Column, balanced: Column) -> Column:
     )
 
 
+def delaunay_space(x: Column, y: Column, u: Column) -> tuple[Column, Column]:
+    """(x + y + u, x - y): the space in which two pairs with one cause lie near each other."""
+    return x + y + u, x - y
+
+
+def annotated_type(kind: Column, distance: Column, group_size: Column, group_kinds: Column, intended: bool = False) -> Column:
+    """Rearrangement type of a prediction in a balanced group of ``group_size`` (null outside groups) with the types ``group_kinds``.
+
+    As coded the groups never count (``intended`` false); as intended two inversions are an inversion, two translocations reciprocal, other groups complex.
+    """
+    pair = lambda k: (group_size == 2) & (F.size(group_kinds) == 1) & (group_kinds[0] == k)
+    first = F.when(pair("inversion"), "inversion").when(pair("translocation"), "reciprocal").when(group_size.isNotNull(), "complex").otherwise("") if intended else F.lit("")
+    is_complex = first == "complex"
+    return (
+        F.when((kind == "inversion") & (distance < 1000) & (first != "inversion"), "foldback")
+        .when(kind.isin("deletion", "duplication") & ~is_complex, kind)
+        .when((kind == "translocation") & ~first.isin("complex", "reciprocal"), "translocation")
+        .when((kind == "inversion") & ~first.isin("complex", "inversion"), "unbalanced")
+        .otherwise(first)
+    )
+
+
 def _forward_homology(seq1: Column, s1: Column, p1: Column, seq2: Column, s2: Column, p2: Column, max_offset: int) -> Column:
     """Length of the run of equal bases when the break slides along end 1."""
     sign1, sign2 = F.when(s1 == "+", 1).otherwise(-1), F.when(s2 == "+", 1).otherwise(-1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from svspark.operators.filters import chromosome_pairs
+
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Join on all common columns."""
@@ -41,6 +43,39 @@ def mate_pairs(rows: DataFrame, keys: list[str], end: str = "read_end") -> DataF
     return side(0, "_1").join(side(1, "_2"), keys)
 
 
+def fragment_pairs(rows: DataFrame, keys: list[str], include: tuple[str, str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Every alignment of end 0 with every one of end 1 of a fragment, less the pairs that ``chromosome_pairs`` drops."""
+    return chromosome_pairs(mate_pairs(rows, keys), include, exclude)
+
+
+def break_reads(breakpoints: DataFrame, clusters: DataFrame, spanning: DataFrame, reads: DataFrame, keys: list[str]) -> DataFrame:
+    """Breakpoints with the alignments of their clusters' members and those members' sequences; members that ``spanning`` or ``reads`` lack are skipped."""
+    members = clusters.join(spanning, [*keys, "read_end", "align_id"])
+    return breakpoints.join(members, "cluster_id").join(reads, [*keys, "read_end"])
+
+
+def left_neighbours(ends: DataFrame, key: str = "id") -> DataFrame:
+    """(key, left): the nearest breakend of the opposite strand to the left on its chromosome; null if there is none.
+
+    A + breakend lies before a - breakend of the same position; of several in one place the greatest id is nearest.
+    """
+    placed = ends.select(key, "chromosome", "strand", (F.col("position") * 2 + F.when(F.col("strand") == "-", 1).otherwise(0)).alias("_at"))
+    out = None
+    for own, other in (("+", "-"), ("-", "+")):
+        there = F.when(F.col("strand") == other, F.struct("_at", F.col(key).alias("id")))
+        found = both_ways(placed, ["chromosome"], "_at", there, F.lit(None).cast("int")).where(F.col("strand") == own).select(key, F.col("l.id").alias("left"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def truth_table(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Full outer join of predictions and truth on all keys, with ``status``: both, found_only or truth_only."""
+    one, two = found.withColumn("_f", F.lit(True)), truth.withColumn("_t", F.lit(True))
+    both = one.join(two, keys, "full")
+    status = F.when(F.col("_f") & F.col("_t"), "both").when(F.col("_f"), "found_only").otherwise("truth_only")
+    return both.withColumn("status", status).drop("_f", "_t")
+
+
 def both_ends(rows: DataFrame, keys: list[str], end: str = "read_end") -> DataFrame:
     """Keys with rows of both ends."""
     return rows.groupBy(*keys).agg(F.countDistinct(end).alias("_ends")).where("_ends = 2").drop("_ends")

@@ -123,3 +123,24 @@ v as (select cluster_id, max(chromosome_1) as chromosome_1, max(strand_1) as str
 r as (select *, row_number() over (partition by cluster_id order by score desc, position_1 desc, position_2 desc, homology desc, inslen desc) as breakpoint_id from v)
 select u.*, sc.mate_score from (select cluster_id, breakpoint_id, chromosome_1, strand_1, position_1, chromosome_2, strand_2, position_2, homology, cast(count as int) as count, inserted from z union all select cluster_id, cast(breakpoint_id as int), chromosome_1, strand_1, position_1, chromosome_2, strand_2, position_2, homology, cast(count as int), inserted from r where breakpoint_id <= 10) u join sc using (cluster_id)""",
 }
+
+_HASH = "cast('0x' || substring(md5(concat('2014:', library_id, ':', read_id)), 1, 8) as bigint) / 4294967296.0"
+ORACLE_SQL |= {
+    "mate_score_filter": duck("aln") + "select read_id % 997 as cluster_id, round(avg(mate_score), 6) as mate_score from aln group by 1 having avg(mate_score) <= 48",
+    "chromosome_pair_filter": duck("brk") + "select 'include' as mode, chromosome_1, chromosome_2, count(*) as n from brk where (chromosome_1 = '1' and chromosome_2 = '2') or (chromosome_1 = '2' and chromosome_2 = '1') group by all union all select 'exclude', chromosome_1, chromosome_2, count(*) from brk where not (chromosome_1 in ('1', '2', '3') and chromosome_2 in ('1', '2', '3')) group by all",
+    "fragment_subsample": duck("aln") + f", a as (select distinct library_id, read_id, case when chromosome = '1' then 0.1 else 0.5 end as share from aln) select library_id, read_id, cast(share as double) as share from a where {_HASH} < share",
+    "length_filter": duck("aln") + ", e as (select library_id, read_id, read_end, max(aligned_length) as b from aln group by all), k as (select library_id, read_id from e group by all having count(*) = 2 and min(b) - 5 >= (select min(floor(l_quantity) + 30) from lineitem where floor(l_quantity) + 30 >= 80)) select library_id, read_id, count(*) as n from aln join k using (library_id, read_id) group by all",
+    "discordant_fragments": f"select * from ({ORACLE_SQL['posterior']}) where posterior_concordant < 0.3",
+    "likely_alignments": f"with p as (select * from ({ORACLE_SQL['posterior']}) where posterior >= 0.1) select * from p where (library_id, read_id) in (select (library_id, read_id) from p group by library_id, read_id having count(distinct read_end) = 2)",
+    "score_filter": f"with t as ({ORACLE_SQL['score_cdf_threshold']}), s as (select cast(floor(l_quantity) + 30 as int) as aligned_length, cast((floor(l_quantity) + 30) * 2 - floor(l_discount * 100) as int) as score from lineitem) select aligned_length, score, count(*) as n from s join t using (aligned_length) where score >= threshold group by all",
+    "window_guard": duck("aln") + "select library_id, read_end, cast(sum(case when position % 100 >= 16 and position % 100 <= aligned_length // 2 then mate_score else 0 end) as bigint) as score, cast(sum(mate_score) as bigint) as unguarded from aln group by all",
+    "fragment_pairs": duck("aln") + "select a.library_id, a.read_id, count(*) as n from aln a join aln b on a.library_id = b.library_id and a.read_id = b.read_id and a.read_end = 0 and b.read_end = 1 where not (a.chromosome in ('1', '2', '3', '4') and b.chromosome in ('1', '2', '3', '4')) group by all",
+    "break_reads": duck("aln", "bp") + ", s as (select library_id, read_id, read_end, align_id, max(position) as position from aln group by all having max(position) % 3 <> 0), r as (select library_id, read_id, read_end, max(aligned_length) as length from aln where mate_score < 70 group by all) select cluster_id, position_1, library_id, read_id, read_end, align_id, position, length from bp join (select distinct read_id % 997 as cluster_id, library_id, read_id, read_end, align_id from aln) c using (cluster_id) join s using (library_id, read_id, read_end, align_id) join r using (library_id, read_id, read_end)",
+    "left_neighbours": duck("brk") + ", " + _BRK + ", " + _SIDES + ", n as (select prediction_id * 2 + side as id, chromosome, strand, position, case when strand = '+' then 0 else 1 end as o from sides) select id, case when strand = '+' then last_value(case when strand = '-' then id end ignore nulls) over w else last_value(case when strand = '+' then id end ignore nulls) over w end as \"left\" from n window w as (partition by chromosome order by position, o, id rows between unbounded preceding and 1 preceding)",
+    "delaunay_space": duck("brk") + ", " + _BRK + " select prediction_id, position_1 + position_2 + 300 as s, position_1 - position_2 as t from e",
+    "annotated_types": duck("brk") + ", " + _BRK + ", k as (select prediction_id, " + _TYPE.format(c1="chromosome_1", c2="chromosome_2") + " as type, abs(position_1 - position_2) as dist, prediction_id // 3 as g from e), z as (select g, count(*) as n, count(distinct type) as kinds, min(type) as one_kind from k group by 1 having count(*) >= 2), "
+    "i as (select k.*, case when n = 2 and kinds = 1 and one_kind = 'inversion' then 'inversion' when n = 2 and kinds = 1 and one_kind = 'translocation' then 'reciprocal' when n is not null then 'complex' else '' end as f from k left join z using (g)) "
+    "select prediction_id, dist, case when type = 'inversion' then case when dist < 1000 then 'foldback' else 'unbalanced' end else type end as as_coded, "
+    "case when type = 'inversion' and f <> 'inversion' and dist < 1000 then 'foldback' when f = 'complex' then 'complex' when type in ('deletion', 'duplication') then type when f = 'reciprocal' then 'reciprocal' when type = 'translocation' then type when f = 'inversion' then 'inversion' else 'unbalanced' end as as_intended from i",
+    "truth_table": duck("aln") + ", f as (select distinct chromosome, strand, position from aln where mate_score < 60), t as (select distinct chromosome, strand, position from aln where mate_score > 40) select chromosome, strand, position, case when f.c and t.c then 'both' when f.c then 'found_only' else 'truth_only' end as status from (select *, true as c from f) f full join (select *, true as c from t) t using (chromosome, strand, position)",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from svspark.functions import seq, stats
 from svspark.operators import aggregates as agg
-from svspark.operators import align, graph, joins
+from svspark.operators import align, filters, graph, joins
 from svspark.plans import pipeline, refdata, somatic
 from svspark.plans.views import view
 
@@ -333,7 +333,7 @@ def read_stats(spark, d):
 @query
 def reservoir_sample(spark, d):
     """The 500 orders with the least seeded hashes."""
-    return _t(spark, d, "orders").select("o_orderkey", F.md5(F.concat(F.lit("2014:"), F.col("o_orderkey").cast("string"))).alias("h")).orderBy("h", "o_orderkey").limit(500).select("o_orderkey")
+    return filters.sample_exact(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 500)
 
 
 @query
@@ -460,6 +460,100 @@ def balanced_rearrangements(spark, d):
     return graph.balanced_rearrangements(b.select("patient_id", "prediction_id", *[f"{c}_{i}" for i in (1, 2) for c in ("chromosome", "strand", "position")]), "patient_id")
 
 
+@query
+def mate_score_filter(spark, d):
+    rows = _clusters(spark, d).groupBy("cluster_id").agg(F.avg("mate_score").alias("mate_score"))
+    return filters.mate_score(rows, 48.0).select("cluster_id", F.round("mate_score", 6).alias("mate_score"))
+
+
+@query
+def chromosome_pair_filter(spark, d):
+    b = view(spark, d, "brk").select("prediction_id", "chromosome_1", "chromosome_2")
+    one = filters.chromosome_pairs(b, include=("1", "2")).withColumn("mode", F.lit("include"))
+    return one.unionByName(filters.chromosome_pairs(b, exclude=("1", "2", "3")).withColumn("mode", F.lit("exclude"))).groupBy("mode", "chromosome_1", "chromosome_2").agg(F.count("*").alias("n"))
+
+
+@query
+def fragment_subsample(spark, d):
+    """A tenth of the reads of chromosome 1 and half of the others."""
+    a = view(spark, d, "aln").select(*READ, F.when(F.col("chromosome") == "1", 0.1).otherwise(0.5).alias("share")).distinct()
+    return filters.subsample(a, READ, F.col("share")).select(*READ, "share")
+
+
+@query
+def length_filter(spark, d):
+    a = view(spark, d, "aln")
+    return filters.long_enough(a, stats.exponential_fit(_scores(spark, d).where("aligned_length >= 80")), READ).groupBy(*READ).agg(F.count("*").alias("n"))
+
+
+@query
+def discordant_fragments(spark, d):
+    return filters.discordant_fragments(posterior(spark, d), 0.3)
+
+
+@query
+def likely_alignments(spark, d):
+    return filters.likely_alignments(posterior(spark, d), READ, 0.1)
+
+
+@query
+def score_filter(spark, d):
+    return filters.valid_scores(_scores(spark, d), score_cdf_threshold(spark, d)).groupBy("aligned_length", "score").agg(F.count("*").alias("n"))
+
+
+@query
+def window_guard(spark, d):
+    score = filters.window_guard(F.col("mate_score"), F.col("position") % 100, F.col("aligned_length"))
+    return view(spark, d, "aln").groupBy("library_id", "read_end").agg(F.sum(score).alias("score"), F.sum("mate_score").alias("unguarded"))
+
+
+@query
+def fragment_pairs(spark, d):
+    a = view(spark, d, "aln").select(*READ, "read_end", "align_id", "chromosome")
+    return joins.fragment_pairs(a, READ, exclude=("1", "2", "3", "4")).groupBy(*READ).agg(F.count("*").alias("n"))
+
+
+@query
+def break_reads(spark, d):
+    a = view(spark, d, "aln")
+    spanning = a.groupBy(*READ, "read_end", "align_id").agg(F.max("position").alias("position")).where("position % 3 <> 0")
+    clusters = a.select((F.col("read_id") % 997).alias("cluster_id"), *READ, "read_end", "align_id").distinct()
+    reads = a.where("mate_score < 70").groupBy(*READ, "read_end").agg(F.max("aligned_length").alias("length"))
+    return joins.break_reads(view(spark, d, "bp"), clusters, spanning, reads, READ).select("cluster_id", "position_1", *READ, "read_end", "align_id", "position", "length")
+
+
+@query
+def left_neighbours(spark, d):
+    ends = agg.unpivot_ends(_ends(spark, d), ["prediction_id"]).select((F.col("prediction_id") * 2 + F.col("side")).alias("id"), "chromosome", "strand", "position")
+    return joins.left_neighbours(ends)
+
+
+@query
+def delaunay_space(spark, d):
+    b = _ends(spark, d)
+    s, t = seq.delaunay_space(F.col("position_1"), F.col("position_2"), F.lit(300))
+    return b.select("prediction_id", s.alias("s"), t.alias("t"))
+
+
+@query
+def annotated_types(spark, d):
+    """Types as coded and as intended; demo groups are predictions of one number modulo a third of the predictions' range."""
+    b = _ends(spark, d)
+    kind = seq.breakpoint_type(*[F.col(f"{c}_{i}") for i in (1, 2) for c in ("chromosome", "strand", "position")])
+    rows = b.select("prediction_id", kind.alias("type"), F.abs(F.col("position_1") - F.col("position_2")).alias("dist"), F.floor(F.col("prediction_id") / 3).alias("g"))
+    groups = rows.groupBy("g").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("type")).alias("kinds")).where("n >= 2")
+    rows = rows.join(groups, "g", "left")
+    types = [seq.annotated_type(F.col("type"), F.col("dist"), F.col("n"), F.col("kinds"), mode).alias(name) for mode, name in ((False, "as_coded"), (True, "as_intended"))]
+    return rows.select("prediction_id", "dist", *types)
+
+
+@query
+def truth_table(spark, d):
+    a = view(spark, d, "aln")
+    found, truth = (a.where(w).select("chromosome", "strand", "position").distinct() for w in ("mate_score < 60", "mate_score > 40"))
+    return joins.truth_table(found, truth, ["chromosome", "strand", "position"])
+
+
 @query
 def reference_regions(spark, d):
     return refdata.demo(spark, d)

@@ -116,6 +116,26 @@ def write_fastq(reads: DataFrame, path: str, compression: str = "gzip", max_reco
     reads.orderBy("fragment", "read_end").select(text.alias("value")).write.option("compression", compression).option("maxRecordsPerFile", max_records).text(path)
 
 
+def write_sorted(rows: DataFrame, path: str, by: str) -> None:
+    """Tab-separated rows in the order of a numeric column, ties by all other columns as text; files are in order."""
+    write_tsv(rows.orderBy(F.col(by).cast("double"), *[F.col(c).cast("string") for c in rows.columns if c != by]), path)
+
+
+def paired_reads(alignments: DataFrame, rename: bool = False) -> DataFrame:
+    """(fragment, read_end, seq, comment, qual) of all primary pairs of which no mate failed quality control, in the reads' own orientation.
+
+    alignments: read_id, read_end, strand, seq, qual, flag.  The comment is the read's name; with ``rename`` fragments are numbered from 0 in the order of names.
+    """
+    from svspark.operators.aggregates import dense_ids
+
+    rows = primary_only(alignments).groupBy("read_id", "read_end").agg(F.min(F.struct("flag", "strand", "seq", "qual")).alias("r"))
+    ends = rows.groupBy("read_id").agg(F.count("*").alias("n"), F.max(F.col("r.flag").bitwiseAND(0x200)).alias("bad")).where("n = 2 and bad = 0").select("read_id")
+    seq, qual = original_orientation(F.col("r.seq"), F.col("r.qual"), F.col("r.strand"))
+    out = rows.join(ends, "read_id", "left_semi").select("read_id", "read_end", seq.alias("seq"), F.col("read_id").alias("comment"), qual.alias("qual"))
+    named = dense_ids(out, ["read_id"], "fragment").withColumn("fragment", F.col("fragment").cast("string")) if rename else out.withColumn("fragment", F.col("read_id"))
+    return named.select("fragment", "read_end", "seq", "comment", "qual")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Tiles (chromosome, start, seq) of one line each, start 1-based; the id is the header's first word.
 
