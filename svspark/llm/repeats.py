@@ -109,10 +109,11 @@ class FingerprintIndex:
         held = work.save(stretches, "stretches")
         often = work.save(held.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") >= HOT).select("a"), "often")
         few = often.count()
-        hot = work.save(held.join(small(often, few), "a", "left_semi").select(held.columns), "hot")
+        flagged = held.join(small(often.withColumn("_often", F.lit(True)), few), "a", "left") if few else held.withColumn("_often", F.lit(None).cast("boolean"))
+        hot = work.save(flagged.where("_often").select(held.columns), "hot")
         first = F.min(F.struct("doc_id", "k2", "at", "c")).alias("f")
         classes = hot.groupBy("a", "s1", "s2").agg(first, F.count("*").alias("n")).select("f.*", "a", "s1", "s2", "n").withColumn("hot", F.lit(True))
-        cold = held.join(small(often, few), "a", "left_anti").withColumns({"n": F.lit(1).cast("long"), "hot": F.lit(False)})
+        cold = flagged.where("_often is null").select(*held.columns, F.lit(1).cast("long").alias("n"), F.lit(False).alias("hot"))
         name = self._write(cold.unionByName(classes).withColumn("seq", F.lit(self.batches)))
         work.drop(held)
         work.drop(often)

@@ -184,7 +184,7 @@ def _word_labels(slots, counts, toxic):
     return y & toxic[doc]
 
 
-def _in_parts(chain: Chain, slots, counts, limit: int = 100_000):
+def _in_parts(chain: Chain, slots, counts, limit: int = 20_000):
     """Marginals, transitions and starts of many documents, in parts of bounded memory."""
     ends = np.cumsum(counts)
     out, pairs, begin, lo = [np.zeros(0)], np.zeros((2, 2)), np.zeros(2), 0
@@ -199,7 +199,7 @@ def _in_parts(chain: Chain, slots, counts, limit: int = 100_000):
 
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 16, prior: float | None = None) -> dict:
     """Fit the chain and the calibration; plain arrays of a fixed size.  ``prior`` are the odds of toxic among all labelled documents, where the sample has others."""
-    parts = [(features(b), b.counts) for _, _, b in blocks(pa.array(texts, pa.string()))]
+    parts = [([s.astype(np.int32) for s in features(b)], b.counts) for _, _, b in blocks(pa.array(texts, pa.string()), limit=PART_BYTES)]
     if not parts or not toxic.any() or toxic.all():
         return {"constant": float(bool(len(toxic)) and bool(toxic.all()))}
     slots = [np.concatenate([p[0][k] for p in parts]).astype(np.int32) for k in range(len(PREFIXES) + 1)]
