@@ -84,3 +84,33 @@ def test_linkage_equals_all_pairs(spark):
                 x, y = sorted((find(p[0]), find(q[0])))
                 parent[y] = x
     assert got == {k: find(k) for k in parent}
+
+
+def test_truths_that_are_near_at_one_end_only_are_not_paired(spark):
+    """Each found breakpoint shares its first end with all truths; an operator that joins one end at a time makes 4 million rows."""
+    from svspark.operators.aggregates import unpivot_ends
+    from svspark.operators.joins import truth_match
+
+    def ends(rows):
+        table = spark.createDataFrame(rows, "id long, chromosome_1 string, strand_1 string, position_1 long, chromosome_2 string, strand_2 string, position_2 long")
+        return unpivot_ends(table, ["id"])
+
+    found = ends([(i, "1", "+", 1000, "2", "-", 1000 * i) for i in range(2000)])
+    truth = ends([(9000 + i, "2", "-", 1000 * i + 7, "1", "+", 1100) for i in range(2000)] + [(5000 + i, "2", "-", 7007, "1", "+", 1100) for i in range(2000)])
+    matched = truth_match(found, truth, 200)
+    got = {r.prediction_id: (r.true_id, r.distance) for r in matched.collect()}
+    assert got == {i: (5000 if i == 7 else 9000 + i, 107) for i in range(2000)}
+    joins = []
+
+    def walk(node):
+        if "Join" in node.nodeName():
+            joins.append(node.metrics().apply("numOutputRows").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            walk(node.plan())
+
+    walk(matched._jdf.queryExecution().executedPlan())
+    assert joins and max(joins) < 100_000
