@@ -102,6 +102,31 @@ def test_path_and_cycle_goldens():
     assert ids == [5, 4, 6, 3, 5] and math.isclose(score, 119.0)
 
 
+def test_cycle_search_settles_each_breakend_once():
+    rng = random.Random(8)
+    for n in (3, 12, 70):
+        rows = [(i, rng.randrange(1, 4), rng.randrange(2), rng.randrange(3000), rng.randrange(1, 4), rng.randrange(2), rng.randrange(3000), rng.choice([0, 0.1, 0.5, 2.0])) for i in range(n)]
+        g = graph.BreakGraph(rows, 2000.0, 200.0)
+        want = {}
+        for i in range(n):  # relaxation of all breakends until nothing changes
+            cost, changed = {(i, 1): 0.0}, True
+            while changed:
+                changed = False
+                for e, v in list(cost.items()):
+                    r, s, p = g.ends[e[0], 1 - e[1]]
+                    for k, (r2, s2, q) in g.ends.items():
+                        if (r2, s2) == (r, 1 - s) and k[0] != i and v + g.travel(s, p, q) + g.cost[k[0]] < cost.get(k, math.inf) - 1e-12:
+                            cost[k], changed = v + g.travel(s, p, q) + g.cost[k[0]], True
+            r, s, p = g.ends[i, 1]
+            arrived = {e: g.ends[e[0], 1 - e[1]] for e in cost}
+            want[i] = min((cost[e] + g.travel(1 - s, a[2], p) for e, a in arrived.items() if a[:2] == (r, 1 - s)), default=math.inf)
+        want = {i: v for i, v in want.items() if v <= 30}
+        one = {i: got[0] for i in range(n) if (got := g.cycle(i, score_limit=30.0, visit_limit=2 * n + 1)) and got[0] <= 30}
+        together = {i: got for i, got in g.cycles(30.0) if got[0] <= 30}
+        assert one == pytest.approx(want) and {i: v for i, (v, _) in together.items()} == pytest.approx(want)
+        assert all(way[0] == way[-1] == i for i, (_, way) in together.items())
+
+
 def test_perfect_matching_equals_brute_force():
     rng = random.Random(3)
     for _ in range(60):
