@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -172,3 +173,19 @@ def test_mixture_recalls_separate_clusters():
     labels = graph.gibbs(x.tolist(), y.tolist(), [300.0] * 24, [30.0] * 24)
     assert not set(labels[:12]) & set(labels[12:])
     assert max(labels[:12].count(k) for k in set(labels[:12])) >= 8
+
+
+def test_a_step_of_the_sampler_does_not_grow_with_its_clusters():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        n = rng.integers(1, 8)
+        x, y, u, s = rng.uniform(0, 900, n), rng.uniform(0, 900, n), rng.uniform(100, 400, n), rng.uniform(25, 50, n)
+        alone = sum(graph.cluster_log_prob([a], [b], [c], [d]) + (c * c) / (d * d) / 2 + math.log(1 / d**2) for a, b, c, d in zip(x, y, u, s, strict=True))
+        tails = sum(math.log1p(c / d * graph._phi(c / d) * math.sqrt(2 * math.pi) * math.exp((c / d) ** 2 / 2)) for c, d in zip(u, s, strict=True))
+        w = u + x + y
+        got = graph._log_prob((1 / s**2).sum(), (w / s**2).sum(), (w * w / s**2).sum(), alone - tails, x.max() + y.max())
+        assert abs(got - graph.cluster_log_prob(x, y, u, s)) < 1e-6
+    x = rng.uniform(0, 150, 200)
+    began = time.process_time()
+    labels = graph.gibbs(x.tolist(), (300 - x + rng.normal(0, 30, 200)).tolist(), [300.0] * 200, [30.0] * 200)
+    assert time.process_time() - began < 1.5 and len(labels) == 200
