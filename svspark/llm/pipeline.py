@@ -16,7 +16,7 @@ from svspark.llm.decontaminate import decontaminate
 from svspark.llm.jaccard import ngram_jaccard
 from svspark.llm.packing import best_fit
 from svspark.llm.repeats import remove_repeats
-from svspark.llm.store import Workspace, fresh, small
+from svspark.llm.store import Workspace, fresh, small, trim
 
 
 def _without(docs: DataFrame, rejected: DataFrame, how: str = "left_anti") -> DataFrame:
@@ -33,6 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Defined cases: a null or empty text has the score of no words; without both labels in ``labels`` nothing is learned and all or none are rejected; an empty table stays empty.
     """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    trim()
     return toxicity.keep_clean(docs, model)
 
 

@@ -84,3 +84,15 @@ def test_stages_take_clashing_columns_null_ids_and_empty_tables(spark):
     for name, stage in corpus_pipeline.STAGES:
         empty = work.save(stage(spark, empty, SF), name)
         assert empty.count() == 0
+
+
+def test_freed_memory_of_the_driver_goes_back():
+    import psutil
+
+    from svspark.llm.store import trim
+
+    held = [bytearray(60_000) for _ in range(3000)]
+    held = held[-1:]  # the last one keeps the others' place
+    before = psutil.Process().memory_info().rss
+    trim()
+    assert before - psutil.Process().memory_info().rss > 100 << 20 and held
