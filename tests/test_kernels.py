@@ -147,6 +147,26 @@ def test_perfect_matching_equals_brute_force():
             assert sorted(v for e in got[1] for v in e) == list(range(n))
 
 
+def test_blossoms_match_as_cheaply_as_the_sweep():
+    rng = random.Random(4)
+    for _ in range(150):
+        n = rng.choice([4, 8, 10, 14])
+        edges = {(a, b): rng.randint(-5, 9) * rng.choice([1, 50]) for a, b in itertools.combinations(range(n), 2) if rng.random() < rng.choice([0.3, 0.8])}
+        want, got = graph.perfect_matching(list(range(n)), edges, 10**9), graph.perfect_matching(list(range(n)), edges, 0)
+        assert (want is None) == (got is None)
+        if got:
+            assert got[0] == want[0] == sum(edges[e] for e in got[1]) and sorted(v for e in got[1] for v in e) == list(range(n))
+
+
+def test_groups_are_found_among_many_crossing_breakpoints():
+    """The sweep alone would hold 2 to the power of dozens of states here."""
+    columns = "prediction_id chromosome_1 strand_1 position_1 chromosome_2 strand_2 position_2".split()
+    rng = random.Random(7)
+    rows = [(i, f"a{rng.randrange(9)}", "+", 10**6 * (i + 1), f"b{rng.randrange(9)}", "-", 10**6 * rng.randrange(1, 999)) for i in range(70)]
+    rows += [(100, "1", "+", 1000, "2", "-", 1001), (101, "2", "+", 1000, "1", "-", 1001)]
+    assert graph.balanced_groups(pd.DataFrame(rows, columns=columns)) == [[100, 101]]
+
+
 def test_balanced_translocation_is_found():
     columns = "prediction_id chromosome_1 strand_1 position_1 chromosome_2 strand_2 position_2".split()
     rows = [(1, "1", "+", 1000, "2", "-", 1001), (2, "2", "+", 1000, "1", "-", 1001), (3, "5", "+", 10, "7", "-", 5)]
