@@ -1,6 +1,8 @@
+import inspect
 import itertools
 import math
 import random
+import sys
 import time
 
 import numpy as np
@@ -167,6 +169,21 @@ def test_groups_are_found_among_many_crossing_breakpoints():
     assert graph.balanced_groups(pd.DataFrame(rows, columns=columns)) == [[100, 101]]
 
 
+def test_blossoms_may_nest_deeper_than_the_stack():
+    """A recursive search failed on 474 breakpoints of one patient at the usual limit; here the stack is shorter and 400 are enough."""
+    columns = "prediction_id chromosome_1 strand_1 position_1 chromosome_2 strand_2 position_2".split()
+    rng = random.Random(1)
+    rows = pd.DataFrame([(i, *(x for _ in (1, 2) for x in ("1", rng.choice("+-"), rng.randrange(20_000)))) for i in range(400)], columns=columns)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(len(inspect.stack()) + 150)
+    began = time.process_time()
+    try:
+        groups = graph.balanced_groups(rows)
+    finally:
+        sys.setrecursionlimit(limit)
+    assert sum(map(len, groups)) == len({i for g in groups for i in g}) > 100 and time.process_time() - began < 4
+
+
 def test_balanced_translocation_is_found():
     columns = "prediction_id chromosome_1 strand_1 position_1 chromosome_2 strand_2 position_2".split()
     rows = [(1, "1", "+", 1000, "2", "-", 1001), (2, "2", "+", 1000, "1", "-", 1001), (3, "5", "+", 10, "7", "-", 5)]
