@@ -226,3 +226,16 @@ def test_a_step_of_the_sampler_does_not_grow_with_its_clusters():
     began = time.process_time()
     labels = graph.gibbs(x.tolist(), (300 - x + rng.normal(0, 30, 200)).tolist(), [300.0] * 200, [30.0] * 200)
     assert time.process_time() - began < 1.5 and len(labels) == 200
+
+
+def test_the_sampler_works_out_equal_steps_once(monkeypatch):
+    """Equal pairs share their place, and clusters that hold the same share what a pair would do to them."""
+    calls, plain = [], graph._log_prob
+    monkeypatch.setattr(graph, "_log_prob", lambda *a: calls.append(1) or plain(*a))
+    x, y = [0.0, 40.0, 2000.0] * 40, [10.0, 0.0, 1500.0] * 40
+    labels = graph.gibbs(x, y, [300.0] * 120, [30.0] * 120)
+    assert labels == [0, 0, 2] * 40
+    assert len(calls) < 20 * 120
+    assert graph.gibbs([v + 777 for v in x], y, [300.0] * 120, [30.0] * 120) == labels
+    near = graph._near([0.0, 5.0, 11.0, 400.0], [0.0, 9.0, 0.0, 0.0], 10.0)
+    assert near == [[0, 1], [0, 1, 2], [1, 2], [3]]
